@@ -51,3 +51,15 @@ def ids_in_buckets(df: DataFrame, column: str, ids: DataFrame, bits: int = 20) -
     bucket = lambda c: F.pmod(F.xxhash64(F.col(c)), F.lit(1 << bits))
     few = ids.select(bucket(ids.columns[0]).alias("__bucket")).distinct()
     return df.withColumn("__bucket", bucket(column)).join(F.broadcast(few), "__bucket", "left_semi").drop("__bucket")
+
+
+def without(docs: DataFrame, ids: DataFrame, column: str = "doc_id", bits: int = 20) -> DataFrame:
+    """docs without the rows whose id is among ids, all columns as they are. Rows outside the ids' hash buckets (2**bits at
+    most, hence broadcast) pass where they are read; only the few others are moved for the exact anti-join."""
+    ids = ids.select(F.col(ids.columns[0]).alias("__id")).distinct()
+    bucket = lambda c: F.pmod(F.xxhash64(F.col(c)), F.lit(1 << bits))
+    few = F.broadcast(ids.select(bucket("__id").alias("__bucket")).distinct())
+    keyed = docs.withColumn("__bucket", bucket(column))
+    clear = keyed.join(few, "__bucket", "left_anti").select(*docs.columns)
+    near = keyed.join(few, "__bucket", "left_semi")
+    return clear.unionByName(near.join(ids, F.col(column) == F.col("__id"), "left_anti").select(*docs.columns))

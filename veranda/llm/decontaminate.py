@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import as_bytes, map_batches
+from .common import as_bytes, cut, map_batches, without
 from .kernels import NOT_ALNUM, batches, ragged, words
 
 WINDOW, BLOCK_BYTES = 10, 1 << 23
@@ -215,4 +215,4 @@ def longest_matches(texts: list[bytes], items: list[bytes], limit: int = 64) ->
 def decontaminate(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW) -> DataFrame:
     """docs, all columns as they are, without documents that hold a window of an item."""
     bad = contamination(docs, benchmark, window).where("n_hit > 0").select("doc_id").distinct()
-    return docs.join(bad, "doc_id", "left_anti").select(*docs.columns)
+    return without(docs, cut(bad))

@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import as_bytes, cut, ids_in_buckets, map_batches
+from .common import as_bytes, cut, ids_in_buckets, map_batches, without
 from .graph import components
 from .kernels import U64, batches, mix, shingle_sets
 
@@ -180,4 +180,4 @@ def _sets(docs: DataFrame, ids: DataFrame, words: int) -> DataFrame:
 def near_dedup(docs: DataFrame, **options) -> DataFrame:
     """The rows of docs, all columns as they are, without those that have a near duplicate of smaller doc_id in their group."""
     gone = near_duplicates(docs, **options).where("not kept").select("doc_id").distinct()
-    return docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
+    return without(docs, cut(gone))
