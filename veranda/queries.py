@@ -256,7 +256,7 @@ def geo3(t):
     return t.lineitem.groupBy("l_suppkey").agg(F.min("l_quantity").alias("x0"), F.min("l_discount").alias("y0"), F.max("l_quantity").alias("x1"), F.max("l_discount").alias("y1"))
 
 
-@query("geo4_geo8_scale_and_direction", """select l_orderkey, l_linenumber, greatest(1.0, l_extendedprice / 900) as scale, case l_linenumber % 4 when 0 then 1.0 when 2 then -1.0 else 0.0 end as dx, case l_linenumber % 4 when 1 then -1.0 when 3 then 1.0 else 0.0 end as dy from lineitem""")
+@query("geo4_geo8_scale_and_direction", """select l_orderkey, l_linenumber, greatest(1.0, l_extendedprice / 900) as scale, (case l_linenumber % 4 when 0 then 1 when 2 then -1 else 0 end)::double as dx, (case l_linenumber % 4 when 1 then -1 when 3 then 1 else 0 end)::double as dy from lineitem""")
 def geo4(t):
     d = G.quarter_direction(F.col("l_linenumber"))
     return t.lineitem.select("l_orderkey", "l_linenumber", G.page_scale(F.col("l_extendedprice")).alias("scale"), d["dx"].alias("dx"), d["dy"].alias("dy"))
@@ -416,10 +416,10 @@ def jn10(t):
     return M.ordinal_pairs(c.where("role = 'user'").select("conv_id", "turn"), b, "conv_id", ["turn"], ["answer"], ["answer"]).select("conv_id", "turn", "answer", "exact")
 
 
-@query("jn11_defaults", """select l_orderkey, l_linenumber, coalesce(p_size::double, 26.0) as x, 40 + 34 * (row_number() over (partition by l_suppkey order by l_orderkey, l_linenumber) - 1) as y from lineitem left join part on l_partkey = p_partkey and p_size < 25""")
+@query("jn11_defaults", """select l_orderkey, l_linenumber, coalesce(p_size::double, 26.0) as x, 40 + 34 * (row_number() over (partition by l_suppkey order by l_orderkey, l_linenumber, l_partkey, l_extendedprice) - 1) as y from lineitem left join part on l_partkey = p_partkey and p_size < 25""")
 def jn11(t):
     p = t.part.where("p_size < 25").select(F.col("p_partkey").alias("l_partkey"), F.col("p_size").cast("double").alias("x"))
-    rn = F.row_number().over(Window.partitionBy("l_suppkey").orderBy("l_orderkey", "l_linenumber"))
+    rn = F.row_number().over(Window.partitionBy("l_suppkey").orderBy("l_orderkey", "l_linenumber", "l_partkey", "l_extendedprice"))
     return t.lineitem.join(p, "l_partkey", "left").select("l_orderkey", "l_linenumber", F.coalesce("x", F.lit(26.0)).alias("x"), (40 + 34 * (rn - 1)).alias("y"))
 
 
@@ -482,10 +482,10 @@ def agg2(t):
     return M.generic_tokens(tokens(t.documents, "doc_id", "page_num"))
 
 
-@query("agg5_page_share", """select l_suppkey, round(avg(case when l_discount > 0.05 then 1.0 else 0.0 end), 6) as share, floor(median(l_partkey) filter (l_discount > 0.05))::int as target from lineitem group by l_suppkey""")
+@query("agg5_page_share", """select l_suppkey, avg((l_discount > 0.05)::int) as share, floor(median(l_partkey) filter (l_discount > 0.05))::int as target from lineitem group by l_suppkey""")
 def agg5(t):
     good = F.col("l_discount") > 0.05
-    return t.lineitem.groupBy("l_suppkey").agg(F.round(F.avg(good.cast("double")), 6).alias("share"), F.floor(F.median(F.when(good, F.col("l_partkey")))).cast("int").alias("target"))
+    return t.lineitem.groupBy("l_suppkey").agg(F.avg(good.cast("double")).alias("share"), F.floor(F.median(F.when(good, F.col("l_partkey")))).cast("int").alias("target"))
 
 
 @query("agg6_snk3_snk4_pages", """select s_suppkey as page_num, coalesce(n, 0) as n, n is null as empty, top from supplier left join (select l_suppkey, count(*) as n, max(l_orderkey * 10 + l_linenumber) as top from lineitem where l_returnflag = 'R' and l_quantity > 45 group by l_suppkey) on l_suppkey = s_suppkey""")
@@ -552,10 +552,10 @@ def win6(t):
     return t.lineitem.where("l_discount < 0.03").withColumn("rn", rn).where("rn <= 2").select("l_orderkey", "l_linenumber")
 
 
-@query("win7_win8_superscripts", """select l_orderkey, l_linenumber from (select *, lag(l_comment) over w as prev, max(l_quantity) filter (l_returnflag <> 'N') over (partition by l_orderkey) as body from (select *, l_shipdate::varchar as l_comment from lineitem) window w as (partition by l_orderkey order by l_linenumber)) where prev is not null and l_quantity <= 0.9 * body""")
+@query("win7_win8_superscripts", """select l_orderkey, l_linenumber from (select *, lag(l_comment) over w as prev, max(l_quantity) filter (l_returnflag <> 'N') over (partition by l_orderkey) as body from (select *, l_shipdate::varchar as l_comment from lineitem) window w as (partition by l_orderkey order by l_linenumber, l_partkey, l_extendedprice)) where prev is not null and l_quantity <= 0.9 * body""")
 def win8(t):
     w = Window.partitionBy("l_orderkey")
-    x = t.lineitem.withColumn("prev", F.lag("l_shipdate").over(w.orderBy("l_linenumber"))).withColumn("body", F.max(F.when(F.col("l_returnflag") != "N", F.col("l_quantity"))).over(w))
+    x = t.lineitem.withColumn("prev", F.lag("l_shipdate").over(w.orderBy("l_linenumber", "l_partkey", "l_extendedprice"))).withColumn("body", F.max(F.when(F.col("l_returnflag") != "N", F.col("l_quantity"))).over(w))
     return x.where(F.col("prev").isNotNull() & (F.col("l_quantity") <= 0.9 * F.col("body"))).select("l_orderkey", "l_linenumber")
 
 
