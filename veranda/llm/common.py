@@ -20,9 +20,14 @@ def checkpoint_dir(spark: SparkSession) -> str:
 
 
 def cut(df: DataFrame) -> DataFrame:
-    """The rows of df, written to the shared checkpoint folder; later plans start from those files."""
+    """The rows of df, written to the shared checkpoint folder; later plans start from those files.
+
+    What was shuffled to make them is garbage from here on; Spark's cleaner deletes those files once the driver's JVM has noticed, so it is
+    asked to look now instead of whenever its heap fills."""
     checkpoint_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
+    out = df.checkpoint(eager=True)
+    df.sparkSession.sparkContext._jvm.System.gc()
+    return out
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

@@ -115,12 +115,20 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 75, k: int =
     """(doc_id, n_shingles, component_id, kept) for each row of docs(doc_id, text, ...); least is the smallest overlap of
     sketches of size k that a pair of the given similarity may have."""
     found = cut(sketches(docs, words, k))
-    reps = found.where("n_shingles > 0 and doc_id is not null").groupBy("k1", "k2").agg(F.min("doc_id").alias("rep"), F.first("sketch").alias("sketch"), F.first("n_shingles").alias("n"))
-
-    # inverted lists of the rarest retained values
-    values = reps.select("rep", "k1", "k2", "n", F.explode("sketch").alias("v"))
+    valid = found.where("n_shingles > 0 and doc_id is not null")
+    copies = cut(valid.groupBy("k1", "k2").agg(F.min("doc_id").alias("rep"), F.count("*").alias("c")).where("c > 1").drop("c"))
+    # sets that occur once, by far the most, stay where they are; only those whose key may be among the copies are moved
+    few = F.broadcast(copies.select(F.pmod("k1", F.lit(1 << 20)).alias("b")).distinct())
+    keyed = valid.withColumn("b", F.pmod("k1", F.lit(1 << 20)))
+    columns = ("rep", "k1", F.col("n_shingles").alias("n"), "sketch")
+    once = keyed.join(few, "b", "left_anti").withColumn("rep", F.col("doc_id")).select(*columns)
+    some = keyed.join(few, "b", "left_semi").join(copies, ["k1", "k2"], "left").where("rep is null or rep = doc_id").withColumn("rep", F.coalesce("rep", "doc_id")).dropDuplicates(["k1", "k2"]).select(*columns)
+    reps = once.unionByName(some)
+
+    # inverted lists of the rarest retained values; a set goes by 64 bits of its key
+    values = reps.select("k1", F.explode("sketch").alias("v"))
     often = values.groupBy("v").agg(F.count("*").alias("c")).where("c > 1")
-    shared = values.join(often, "v").groupBy("rep", "k1", "k2", "n").agg(F.sort_array(F.collect_list(F.struct("c", "v"))).alias("vs"), F.sum(F.log("c")).alias("weight"))
+    shared = values.join(often, "v").groupBy("k1").agg(F.sort_array(F.collect_list(F.struct("c", "v"))).alias("vs"), F.sum(F.log("c")).alias("weight")).join(reps.select("k1", "rep", "n"), "k1")
     have = F.least(F.col("n"), F.lit(k))
     exact = F.ceil(F.col("n") * percent / 100)  # such a set and all that are similar to it are whole in their sketches
     need = F.when(F.col("n") <= k * percent // 100, exact).otherwise(F.least(F.lit(least), have))
@@ -157,8 +165,8 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 75, k: int =
         meet = asks.unionByName(told).distinct().join(sets, "id").groupBy("hub", "block", "part").applyInPandas(_block_links(percent), schema)
         label = components(links.unionByName(meet))
 
-    same = found.select("doc_id", "n_shingles", "k1", "k2").join(reps.select("k1", "k2", "rep"), ["k1", "k2"], "left")
-    node = F.when(F.col("n_shingles") > 0, F.col("rep")).otherwise(F.col("doc_id"))
+    same = found.select("doc_id", "n_shingles", "k1", "k2").join(copies, ["k1", "k2"], "left")
+    node = F.when(F.col("n_shingles") > 0, F.coalesce("rep", "doc_id")).otherwise(F.col("doc_id"))
     ids = same.withColumn("rep", node)
     by_set = ids.join(label.withColumnRenamed("id", "rep"), "rep", "left")
     return by_set.select("doc_id", "n_shingles", F.when(F.col("doc_id").isNotNull(), F.coalesce("component", "rep", "doc_id")).alias("component_id")).withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))

@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import as_bytes, cut, ids_in_buckets, map_batches
-from .kernels import U64, WORD_POWERS, WORD_POWERS2, batches, prefix_sums, ragged, range_hashes, window_hashes, words
+from .kernels import U64, WORD_POWERS, WORD_POWERS2, batches, mix, prefix_sums, ragged, range_hashes, window_hashes, words
 
 LENGTH, SEED = 20, 8
 
@@ -60,7 +60,8 @@ def runs(h: np.ndarray, at: np.ndarray, length: int = LENGTH, seed: int = SEED):
 
 
 def anchors(docs: DataFrame, length: int, seed: int, seeds_only: bool = False) -> DataFrame:
-    """(g) or (g, span, doc_id, at) of each anchor; at is 65536 * first window + 256 * windows + distance of the anchor."""
+    """(g) or (g, span, doc_id, at) of each anchor: its hash, a hash of its windows' words and of its place among them, and
+    where it is, as 256 * first window + number of windows."""
 
     def run(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
         texts, ids = as_bytes(batch.column(1)), batch.column(0).to_numpy()
@@ -72,14 +73,16 @@ def anchors(docs: DataFrame, length: int, seed: int, seeds_only: bool = False) -
                 continue
             own = np.searchsorted(at, start, "right") - 1
             span = range_hashes(prefix_sums(h, WORD_POWERS2), start, start + count - 1 + length, WORD_POWERS2)
-            place = ((start - at[own]) << 16) | (count << 8) | off
+            span = mix(span ^ mix((count << 8 | off).astype(U64)))
+            place = ((start - at[own]) << 8) | count
             yield pa.RecordBatch.from_arrays([pa.array(g.view(np.int64)), pa.array(span.view(np.int64)), pa.array(ids[a:b][own]), pa.array(place)], ["g", "span", "doc_id", "at"])
 
     return map_batches(docs, run, "g long" if seeds_only else "g long, span long, doc_id long, at long")
 
 
 def _windows(texts: DataFrame, length: int) -> DataFrame:
-    """texts(doc_id, text, picked array<struct<g, span, at>>) -> the windows of the picked anchors with their hashes."""
+    """texts(doc_id, text, picked array<at>) -> (w1, w2, doc_id, place) of the windows of the picked anchors: two hashes, and
+    where the window is, as 256 * its number + its number among the anchor's."""
 
     def run(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
         ids, bodies, picked = batch.column(0).to_numpy(), as_bytes(batch.column(1)), batch.column(2)
@@ -87,21 +90,17 @@ def _windows(texts: DataFrame, length: int) -> DataFrame:
             h, at, _, _ = words(bodies[a:b])
             s1, s2 = prefix_sums(h, WORD_POWERS), prefix_sums(h, WORD_POWERS2)
             part = picked[a:b]
-            rows = part.flatten()
+            place = part.flatten().to_numpy()
             own = np.repeat(np.arange(b - a), part.value_lengths().to_numpy())
-            g, span, place = (rows.field(k).to_numpy() for k in ("g", "span", "at"))
-            count, off = (place >> 8) & 255, place & 255
-            first = at[own] + (place >> 16)
+            count, first = place & 255, at[own] + (place >> 8)
             fits = first + count - 1 + length <= at[own + 1]  # always, but where rows of one doc_id have different texts
-            g, span, place, count, first, own, off = (x[fits] for x in (g, span, place, count, first, own, off))
-            s, j = ragged(first, count), ragged(np.zeros(len(count), np.int64), count)
-            many = lambda x: np.repeat(x, count)
+            count, first, own = count[fits], first[fits], own[fits]
+            s, j, of = ragged(first, count), ragged(np.zeros(len(count), np.int64), count), np.repeat(own, count)
             yield pa.RecordBatch.from_arrays([
                 pa.array(range_hashes(s1, s, s + length, WORD_POWERS).view(np.int64)), pa.array(range_hashes(s2, s, s + length, WORD_POWERS2).view(np.int64)),
-                pa.array(ids[a:b][many(own)]), pa.array(s - at[many(own)]), pa.array(many(g)), pa.array(many(span)), pa.array(many(place) & 0xFFFF), pa.array(j)],
-                ["w1", "w2", "doc_id", "s", "g", "span", "shape", "j"])
+                pa.array(ids[a:b][of]), pa.array((s - at[of]) << 8 | j)], ["w1", "w2", "doc_id", "place"])
 
-    return map_batches(texts, run, "w1 long, w2 long, doc_id long, s long, g long, span long, shape long, j long")
+    return map_batches(texts, run, "w1 long, w2 long, doc_id long, place long")
 
 
 def repeated_windows(docs: DataFrame, length: int = LENGTH, seed: int = SEED) -> DataFrame:
@@ -110,21 +109,21 @@ def repeated_windows(docs: DataFrame, length: int = LENGTH, seed: int = SEED) ->
         raise ValueError("seed has to be less than length, by 48 at most")
     docs = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).where("doc_id is not null")
     often = anchors(docs, length, seed, True).groupBy("g").agg(F.count("*").alias("c")).where("c > 1").select("g")
-    found = cut(anchors(docs, length, seed).join(often, "g", "left_semi").withColumn("shape", F.col("at").bitwiseAND(0xFFFF)).withColumn("first", F.shiftright("at", 16)).drop("at"))
-    classes = found.groupBy("g", "span", "shape").agg(F.min(F.struct("doc_id", "first")).alias("top"))
-    classes = cut(classes.select("g", "span", "shape", "top.doc_id", "top.first"))
+    found = cut(anchors(docs, length, seed).join(often, "g", "left_semi"))
+    top = F.min(F.struct("doc_id", "at"))
+    classes = cut(found.groupBy("g", "span").agg(top.alias("top")).select("g", "span", "top.doc_id", "top.at"))
     several = classes.groupBy("g").agg(F.count("*").alias("c")).where("c > 1").select("g")
-    picked = classes.join(several, "g", "left_semi").groupBy("doc_id").agg(F.collect_list(F.struct("g", "span", (F.shiftleft("first", 16) + F.col("shape")).alias("at"))).alias("picked"))
-    picked = cut(picked)
+    picked = cut(classes.join(several, "g", "left_semi").groupBy("doc_id").agg(F.collect_list("at").alias("picked")))
     near = ids_in_buckets(docs, "doc_id", picked.select("doc_id"))
     windows = cut(_windows(near.join(picked, "doc_id").select("doc_id", "text", "picked"), length))
-    low = windows.groupBy("w1", "w2").agg(F.min(F.struct("doc_id", "s")).alias("low"))
-    later = windows.join(low, ["w1", "w2"]).where(F.struct("doc_id", "s") > F.col("low"))
-    masks = later.select("g", "span", "shape", "j").distinct().groupBy("g", "span", "shape").agg(F.sum(F.expr("shiftleft(1L, cast(j as int))")).alias("mask"))
-    tops = classes.join(masks, ["g", "span", "shape"], "left").withColumnsRenamed({"doc_id": "top_id", "first": "top_first"})
-    everything = F.expr("shiftleft(1L, cast(shiftright(shape, 8) as int)) - 1L")
-    marked = found.join(tops, ["g", "span", "shape"]).withColumn("windows", F.when((F.col("doc_id") == F.col("top_id")) & (F.col("first") == F.col("top_first")), F.coalesce("mask", F.lit(0))).otherwise(everything))
-    return marked.where("windows <> 0").select("doc_id", "first", "windows")
+    low = windows.groupBy("w1", "w2").agg(F.count("*").alias("c"), F.min(F.struct("doc_id", F.shiftright("place", 8).alias("s"))).alias("low")).where("c > 1").drop("c")
+    later = windows.join(low, ["w1", "w2"]).where(F.struct("doc_id", F.shiftright("place", 8).alias("s")) > F.col("low"))
+    number = F.col("place").bitwiseAND(255)
+    masks = cut(later.select("doc_id", (F.shiftright("place", 8) - number).alias("first"), number.cast("int").alias("j")).distinct().groupBy("doc_id", "first").agg(F.sum(F.expr("shiftleft(1L, j)")).alias("mask")))
+    tops = classes.withColumn("first", F.shiftright("at", 8)).join(masks, ["doc_id", "first"], "left").select("g", "span", F.col("doc_id").alias("top_id"), F.col("at").alias("top_at"), "mask")
+    everything = F.expr("shiftleft(1L, cast(at & 255 as int)) - 1L")
+    marked = found.join(tops, ["g", "span"]).withColumn("windows", F.when((F.col("doc_id") == F.col("top_id")) & (F.col("at") == F.col("top_at")), F.coalesce("mask", F.lit(0))).otherwise(everything))
+    return marked.where("windows <> 0").select("doc_id", F.shiftright("at", 8).alias("first"), "windows")
 
 
 def remove_repeats(docs: DataFrame, length: int = LENGTH, seed: int = SEED) -> DataFrame:
