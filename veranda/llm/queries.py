@@ -80,7 +80,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    """op1, op6 and op9 by plain definitions on whole tables; the others' results hang on a model, a format or a hash."""
+    """op6 and op9 by plain definitions on whole tables; the others' results hang on a model, a format or a hash."""
     return {"op6_substring_dedup": SUBSTRING_SQL, "op9_decontamination": DECONTAMINATION_SQL}
 
 
