@@ -137,10 +137,13 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 75, k: int =
     hubs = lists.groupBy("v").agg(F.max(F.struct("weight", (-F.col("rep")).alias("minus"))).alias("top"), F.count("*").alias("m")).where("m > 1").select("v", (-F.col("top.minus")).alias("hub"), "m")
     groups = lists.join(hubs, "v").where("rep <> hub").groupBy("hub", "rep").agg(F.max("m").alias("m"))
 
-    # groups of two: the union sketch decides whether the sets are worth comparing
-    slim = reps.select("rep", "sketch")
-    pair = groups.where("m = 2").join(slim, "rep").join(slim.select(F.col("rep").alias("hub"), F.col("sketch").alias("hub_sketch")), "hub")
-    likely = pair.where(union_estimate(F.col("sketch"), F.col("hub_sketch"), k) >= percent / 100 - 5 * (0.25 * 0.75 / k) ** 0.5).select("hub", "rep")
+    # groups of two: the union sketch decides whether the sets are worth comparing; each sketch is moved once, and few others are
+    groups = cut(groups)
+    ends = groups.where("m = 2").select("hub", "rep", F.explode(F.array("hub", "rep")).alias("id"))
+    slim = ids_in_buckets(reps.select(F.col("rep").alias("id"), "sketch"), "id", ends.select("id"))
+    pair = ends.join(slim, "id").groupBy("hub", "rep").agg(F.min_by("sketch", "id").alias("x"), F.max_by("sketch", "id").alias("y"), F.count("*").alias("sets"))
+    # an id with several sets (repeated doc_id) goes to the exact comparison as it is
+    likely = pair.where((F.col("sets") > 2) | (union_estimate(F.col("x"), F.col("y"), k) >= percent / 100 - 5 * (0.25 * 0.75 / k) ** 0.5)).select("hub", "rep")
     members = cut(groups.where("m > 2").select("hub", "rep").unionByName(likely).distinct())
     sizes = members.groupBy("hub").agg(F.ceil(F.count("*") / block).cast("int").alias("blocks"))
     placed = members.join(sizes, "hub").select("hub", F.col("rep").alias("id"), F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int").alias("block")).unionByName(
@@ -162,7 +165,8 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 75, k: int =
         parts = alone.groupBy("hub").agg(F.ceil(F.count("*") / block).cast("int").alias("parts"))
         asks = alone.join(parts, "hub").select("hub", "id", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"), F.pmod(F.xxhash64("id", F.lit(7)), F.col("parts")).cast("int").alias("part"))
         told = named.join(parts, "hub").select("hub", "id", "block", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"))
-        meet = asks.unionByName(told).distinct().join(sets, "id").groupBy("hub", "block", "part").applyInPandas(_block_links(percent), schema)
+        met = cut(asks.unionByName(told).distinct())
+        meet = met.join(_sets(docs, met.select("id").distinct(), words), "id").groupBy("hub", "block", "part").applyInPandas(_block_links(percent), schema)
         label = components(links.unionByName(meet))
 
     same = found.select("doc_id", "n_shingles", "k1", "k2").join(copies, ["k1", "k2"], "left")
