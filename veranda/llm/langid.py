@@ -27,7 +27,9 @@ from .common import as_bytes, cut, without
 from .kernels import SPACE, U64, batches, ragged, words
 
 PER_LANGUAGE, LONGEST, LEXICON, BITS = 150, 20_000, 20_000, 16
-BATCH = 1 << 22
+#: Lines of so many bytes of text go through forward-backward together; features are looked up for PART bytes at a time, as those
+#: take some hundred bytes for each byte of text. A longer text is a part of its own.
+BATCH, PART = 1 << 22, 1 << 19
 _LETTER = regex.compile(r"\p{L}")
 
 
@@ -179,6 +181,20 @@ def fit(texts: list[str], labels: list[str], rounds: int = 12, lexicon: int = LE
     return model
 
 
+def scored(texts: list[bytes], m: Model, part: int = PART) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(scores of all words, words before each text and the total, first word and number of words of each line)."""
+    scores, at, first, count, before = [], [np.zeros(1, np.int64)], [], [], 0
+    for a, b in batches(texts, part):
+        w = Words(texts[a:b], m.lexicon)
+        f, c = w.lines()
+        scores.append(w.scores(m))
+        at.append(w.at[1:] + before)
+        first.append(f + before)
+        count.append(c)
+        before += int(w.at[-1])
+    return np.concatenate(scores), np.concatenate(at), np.concatenate(first), np.concatenate(count)
+
+
 def _summed(index: np.ndarray, d: np.ndarray, size: int) -> np.ndarray:
     return np.stack([np.bincount(index, d[:, c], size) for c in range(d.shape[1])], 1)
 
@@ -220,17 +236,16 @@ def identify(docs: DataFrame, model: Model | None = None, per_language: int = PE
                 letters = np.fromiter((bool(_LETTER.search(t.decode())) for t in texts[a:b]), bool, n)
                 share, switches = np.zeros((n, max(k, 1))), np.zeros(n, np.int64)
                 if k:
-                    w = Words(texts[a:b], m.lexicon)
-                    first, count = w.lines()
-                    p = forward_backward(w.scores(m), first, count, m.transition)
+                    scores, at, first, count = scored(texts[a:b], m)
+                    p = forward_backward(scores, first, count, m.transition)
                     sums = np.concatenate((np.zeros((1, k)), np.cumsum(p, axis=0, dtype=np.float64)))
-                    share = (sums[w.at[1:]] - sums[w.at[:-1]]) / np.maximum(np.diff(w.at), 1)[:, None]
+                    share = (sums[at[1:]] - sums[at[:-1]]) / np.maximum(np.diff(at), 1)[:, None]
                     best = p.argmax(1)
                     turn = np.zeros(len(best), np.int64)
                     turn[1:] = best[1:] != best[:-1]
                     turn[first] = 0
                     total = np.concatenate(([0], np.cumsum(turn)))
-                    switches = total[w.at[1:]] - total[w.at[:-1]]
+                    switches = total[at[1:]] - total[at[:-1]]
                 known = letters & (k > 0)
                 pred = names[np.where(known, share.argmax(1), k)]
                 score = np.where(known, np.clip(share.max(1), 0, 1), 0.0)
