@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import as_bytes
+from .common import as_bytes, map_arrow
 from .kernels import SPACE, U64, mix, window_hashes, words
 
 K, N = 64, 2
@@ -101,7 +101,7 @@ def fingerprints(docs: DataFrame, k: int = K, n: int = N) -> DataFrame:
         for batch in source:
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([hexed(cache[0].text(t)) for t in as_bytes(batch.column(1))], pa.string())], ["doc_id", "fingerprint"])
 
-    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(run, "doc_id long, fingerprint string")
+    return map_arrow(docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")), run, "doc_id long, fingerprint string")
 
 
 def estimate(a, b, k: int = K):
@@ -169,4 +169,4 @@ def compare_edited(docs: DataFrame, k: int = K, n: int = N) -> DataFrame:
         return own[1], len(text), hashlib.sha256(new).hexdigest(), hexed(own[3]), hexed(print_), likeness(own[3], print_), likeness(own[3], following[3])
 
     order = [F.col("bucket"), F.col("extra"), F.col("doc_id").desc_nulls_last(), F.col("text")]
-    return neighbours(docs).repartition("bucket").sortWithinPartitions(*order).select("bucket", "doc_id", "text", "extra").mapInArrow(run, schema)
+    return map_arrow(neighbours(docs).repartition("bucket").sortWithinPartitions(*order).select("bucket", "doc_id", "text", "extra"), run, schema)

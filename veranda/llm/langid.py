@@ -23,13 +23,13 @@ import regex
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import as_bytes, cut, without
+from .common import as_bytes, cut, map_arrow, without
 from .kernels import SPACE, U64, batches, ragged, words
 
 PER_LANGUAGE, LONGEST, LEXICON, BITS = 150, 20_000, 20_000, 16
 #: Lines of so many bytes of text go through forward-backward together; features are looked up for PART bytes at a time, as those
 #: take some hundred bytes for each byte of text. A longer text is a part of its own.
-BATCH, PART = 1 << 22, 1 << 19
+BATCH, PART = 1 << 21, 1 << 19
 _LETTER = regex.compile(r"\p{L}")
 
 
@@ -252,7 +252,7 @@ def identify(docs: DataFrame, model: Model | None = None, per_language: int = PE
                 listed = pa.ListArray.from_arrays(pa.array(np.arange(n + 1, dtype=np.int32) * k), pa.array(share[:, :k].ravel()))
                 yield pa.RecordBatch.from_arrays([batch.column(0)[a:b], pa.array(pred, pa.string()), pa.array(score), listed, pa.array(switches)], ["doc_id", "lang_pred", "score", "shares", "switches"])
 
-    out = docs.select("doc_id", "text").mapInArrow(run, "doc_id long, lang_pred string, score double, shares array<double>, switches long")
+    out = map_arrow(docs.select("doc_id", "text"), run, "doc_id long, lang_pred string, score double, shares array<double>, switches long")
     return out.select("doc_id", F.coalesce(held_out(F.col("doc_id")), F.lit(False)).alias("held_out"), "lang_pred", "score", "shares", "switches")
 
 

@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import as_bytes, cut, ids_in_buckets, map_batches, without
+from .common import as_bytes, cut, give_back, ids_in_buckets, map_batches, without
 from .graph import components
 from .kernels import U64, batches, mix, shingle_sets
 
@@ -106,6 +106,7 @@ def _block_links(percent: int):
         sets = [np.frombuffer(x, U64) for x in block["shingles"]]
         ids = block["id"].to_numpy(np.int64)
         low = _smallest(matched(sets, percent), ids)
+        give_back()
         return pd.DataFrame({"a": ids, "b": low})[ids != low]
 
     return run

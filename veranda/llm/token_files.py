@@ -28,7 +28,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import as_bytes
+from .common import as_bytes, map_arrow
 from .kernels import U64, batches, mix
 from .tokens import encoder
 
@@ -136,7 +136,7 @@ def write(docs: DataFrame, path: str, tokenizer: str, end_id: int) -> None:
                 shard += 1
 
     texts = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
-    texts.repartitionByRange("doc_id").sortWithinPartitions("doc_id", "text").mapInArrow(run, schema).write.parquet(path)
+    map_arrow(texts.repartitionByRange("doc_id").sortWithinPartitions("doc_id", "text"), run, schema).write.parquet(path)
 
 
 def documents(spark: SparkSession, path: str) -> DataFrame:
@@ -163,7 +163,7 @@ def documents(spark: SparkSession, path: str) -> DataFrame:
                 yield from run(b.slice(i, 1))
 
     rows = shards.select("part", "before", "width", "doc_ids", "payload", "index").join(starts, "part")
-    return rows.select((F.col("base") + F.col("before")).alias("base"), "width", "doc_ids", "payload", "index").mapInArrow(each, "doc_id long, start long, n_tokens long, ids_crc32 long")
+    return map_arrow(rows.select((F.col("base") + F.col("before")).alias("base"), "width", "doc_ids", "payload", "index"), each, "doc_id long, start long, n_tokens long, ids_crc32 long")
 
 
 def lookup(spark: SparkSession, path: str, doc_id: int) -> list[int] | None:
