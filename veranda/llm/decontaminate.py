@@ -167,12 +167,11 @@ def contamination(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, b
 
     def run(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
         texts = as_bytes(batch.column(1))
-        parts = [(a, b, Shard(texts[a:b], window)) for a, b in batches(texts)]
-        hits = [np.zeros(len(s.token) + 1, np.int64) for *_, s in parts]
-        pairs: list[list] = [[] for _ in parts]
-        for i in range(len(blocks)):
-            ids, hashes, length, own = queries(i)
-            for (_, _, s), hit, pair in zip(parts, hits, pairs, strict=True):
+        for a, b in batches(texts):  # one shard at a time: a suffix array takes tens of bytes a word
+            s = Shard(texts[a:b], window)
+            hit, pair = np.zeros(len(s.token) + 1, np.int64), []
+            for i in range(len(blocks)):
+                ids, hashes, length, own = queries(i)
                 lo, hi, best = s.ranges(_ranks(s, hashes, length), length)
                 w = np.flatnonzero((best == length) & (length > 0))
                 at = s.order[ragged(lo[w], hi[w] - lo[w])]
@@ -180,7 +179,6 @@ def contamination(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, b
                 np.add.at(hit, at, 1)
                 np.add.at(hit, at + length[w], -1)
                 pair.append(np.unique(np.stack((np.searchsorted(s.begin, at, "right") - 1, ids[own[w]]), 1), axis=0))
-        for (a, b, s), hit, pair in zip(parts, hits, pairs, strict=True):
             cover = (np.cumsum(hit)[:-1] > 0).astype(np.int8)
             edge = np.flatnonzero(np.diff(np.concatenate(([0], cover, [0])))).reshape(-1, 2)
             doc = np.searchsorted(s.begin, edge[:, 0], "right") - 1
