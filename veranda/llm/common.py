@@ -10,6 +10,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .tokens import encoder
+
 
 def checkpoint_dir(spark: SparkSession) -> str:
     """The shared folder that the session names. Where none is named (tests, a laptop) a temporary one is set."""
@@ -49,10 +51,17 @@ def give_back() -> None:
         trim(0)
 
 
-def map_arrow(df: DataFrame, fn: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: str) -> DataFrame:
+def start_task(encodes: bool) -> None:
+    """Drops the encoders, with their memos, that an earlier operator's tasks left in this worker, unless this task encodes."""
+    if not encodes:
+        encoder.cache_clear()
+
+
+def map_arrow(df: DataFrame, fn: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: str, encodes: bool = False) -> DataFrame:
     """mapInArrow whose workers give their memory back after each task."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        start_task(encodes)
         try:
             yield from fn(batches)
         finally:

@@ -11,8 +11,9 @@ import numpy as np
 
 U64 = np.uint64
 _MIX1, _MIX2 = U64(0xBF58476D1CE4E5B9), U64(0x94D049BB133111EB)
-#: Texts are handled in batches of about this many bytes; a longer text is a batch of its own.
-BATCH_BYTES = 1 << 21
+#: Texts are handled in batches of about this many bytes, below a power of two (the tables of powers grow to the next one); a longer
+#: text is a batch of its own.
+BATCH_BYTES = 1_000_000
 
 
 def mix(x: np.ndarray) -> np.ndarray:
@@ -64,10 +65,10 @@ def batches(texts: list[bytes], limit: int = BATCH_BYTES):
     """Yields (from, to) ranges of texts of about limit bytes, one text at least."""
     start, size = 0, 0
     for i, t in enumerate(texts):
-        if i > start and size + len(t) > limit:
+        if i > start and size + len(t) + 1 > limit:
             yield start, i
             start, size = i, 0
-        size += len(t)
+        size += len(t) + 1
     if start < len(texts):
         yield start, len(texts)
 

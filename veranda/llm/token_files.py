@@ -136,7 +136,7 @@ def write(docs: DataFrame, path: str, tokenizer: str, end_id: int) -> None:
                 shard += 1
 
     texts = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
-    map_arrow(texts.repartitionByRange("doc_id").sortWithinPartitions("doc_id", "text"), run, schema).write.parquet(path)
+    map_arrow(texts.repartitionByRange("doc_id").sortWithinPartitions("doc_id", "text"), run, schema, encodes=True).write.parquet(path)
 
 
 def documents(spark: SparkSession, path: str) -> DataFrame:
