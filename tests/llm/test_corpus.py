@@ -260,6 +260,19 @@ def test_pii(spark, odd, empty):
     assert pii.replace_entities(empty).count() == 0 and pii.replace_entities(odd).count() == odd.count()
 
 
+def test_pii_without_letters_and_in_full_forms(spark, monkeypatch):
+    texts = ["password: ********", "token: ________ and more", "secret = \"????????\"", "Mr. Պետրոս", "Mr. John Սարգսյան", "pwd: 密码密码密码", "password: ********"]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r.doc_id: r for r in pii.replace_entities(df).collect()}
+    assert all(got[i].n_entities == 1 and got[i].text != t for i, t in enumerate(texts)) and got[0].text == got[6].text
+    assert re.fullmatch(r"password: [^\s\"',;]{6,}", got[0].text) and re.fullmatch(r"token: [^\s\"',;]{6,} and more", got[1].text) and re.fullmatch(r'secret = "[^"\s]{6,}"', got[2].text)
+    assert "Սարգսյան" not in got[4].text and "密" not in got[5].text
+    monkeypatch.setattr(pii, "ROUNDS", 2)
+    full = [("ssn", str(d)) for d in range(10)] + [("name", f"Mr {a}{b}") for a in "ABCDEFGHIJKLMNOPQRSTUVWXYZ" for b in "abcdefghijklmnopqrstuvwxyz"]
+    fakes = pii.table(spark.createDataFrame(full, "kind string, entity string"), "k").collect()
+    assert len({r.surrogate for r in fakes}) == len(full) == len(fakes) and not {r.surrogate for r in fakes} & {e for _, e in full}
+
+
 def test_pipeline(spark):
     import corpus_pipeline as p
 

@@ -6,8 +6,12 @@ the form: digits for digits, letters for letters of the same case and script (La
 them valid: the last label of a mail's domain, the range of an IP address's numbers, a phone's country code, a card's first digit
 and its check digit, a key's prefix, hexadecimal digits; a name after a title is replaced by a name of the title's gender and the name's script.
 
+Letters and digits of other scripts get Latin letters of their case and digits.
+
 Collision checks: a surrogate that equals any detected entity, or that of another entity, is made anew with the next attempt, until none
-collides. A text is rebuilt from its pieces between entities, so what is found is what is replaced. Texts without entities pass where
+collides. A body without letters and digits, and after ROUNDS attempts any other (its form may be full), is given up for a keyed one of 80 bits
+or more, so that there is always a free one: letters in a secret, a mail's local part or a name, twenty digits in a phone number,
+an IPv6 address for an IP address, further digits behind other numbers. A text is rebuilt from its pieces between entities, so what is found is what is replaced. Texts without entities pass where
 they are read; of the others only the distinct entities, with a key of the text, are moved to be joined with their surrogates; an entity that is in
 very many texts is one row of the table of surrogates, and its side of the join may be split.
 
@@ -45,6 +49,7 @@ KINDS = {
     "name": r"\b(?:" + "|".join([*MALE, *FEMALE, "Dr", "Prof"]) + r")\b\.? \p{Lu}[\p{L}'’-]+(?: \p{Lu}[\p{L}'’-]+)?",
 }
 PATTERN = "|".join(f"(?:{p})" for p in KINDS.values())
+#: So many attempts keep an entity's form.
 ROUNDS = 24
 
 
@@ -58,6 +63,7 @@ ALPHABETS = (
     (r"[\x{df}-\x{f6}\x{f8}-\x{ff}]", "àáâãäåçèéêëìíîïñòóôõöùúûüý"), (r"[\x{c0}-\x{d6}\x{d8}-\x{de}]", "ÀÁÂÃÄÅÇÈÉÊËÌÍÎÏÑÒÓÔÕÖÙÚÛÜÝ"),
     (r"[\x{430}-\x{44f}]", "абвгдежзийклмнопрстуфхцчшщыэюя"), (r"[\x{410}-\x{42f}]", "АБВГДЕЖЗИЙКЛМНОПРСТУФХЦЧШЩЭЮЯ"),
     (r"[\x{3ac}-\x{3ce}]", "αβγδεζηθικλμνξοπρστυφχψω"), (r"[\x{386}-\x{3ab}]", "ΑΒΓΔΕΖΗΘΙΚΛΜΝΞΟΠΡΣΤΥΦΧΨΩ"),
+    (r"\p{N}", "0123456789"), (r"\p{Lu}", "ABCDEFGHIJKLMNOPQRSTUVWXYZ"), (r"\p{L}", "abcdefghijklmnopqrstuvwxyz"),
 )
 
 
@@ -88,6 +94,7 @@ def with_surrogates(rows: DataFrame, key: str) -> DataFrame:
     alphabet = lambda c: reduce(lambda w, x: w.when(F.regexp_like(c, F.lit(x[0])), x[1]), ALPHABETS, F.when((kind == "secret") & F.col("hexadecimal") & F.regexp_like(c, F.lit("[0-9a-f]")), "0123456789abcdef")).otherwise(c)
     rows = rows.withColumn("hexadecimal", F.regexp_like("body", F.lit("^[0-9a-f]+[\"']?$")))
     chars = F.transform(F.filter(F.split("body", ""), lambda c: c != ""), lambda c: alphabet(c))
+    rows = rows.withColumn("free", (F.col("attempt") >= ROUNDS) | ~F.exists(chars, lambda a: F.length(a) > 1))
     rows = rows.withColumn("made", F.array_join(F.transform(chars, lambda a, i: F.substring(a, _number(i) % F.length(a) + F.lit(1), F.lit(1))), ""))
     # a number's check digit is right if it was right
     plain = F.regexp_replace(F.concat("head", F.substring(F.col("made"), F.lit(1), F.length("made") - 1), F.lit("0")), "[^0-9]", "")
@@ -99,13 +106,25 @@ def with_surrogates(rows: DataFrame, key: str) -> DataFrame:
     given = F.element_at(F.create_map(*[x for (g, s), ns in NAMES.items() for x in (F.lit(g + s), F.array(*map(F.lit, ns)))]), F.concat(gender, script))
     rows = rows.withColumn("given", F.when((kind == "name") & F.regexp_like("head", F.lit(r" \S")), given))
     name = F.when(F.col("given").isNotNull(), F.concat(F.regexp_extract("head", r"^\p{L}+\.? ", 0), F.element_at("given", _number(1) % F.size("given") + 1), F.lit(" "), "made")).otherwise(F.concat("head", "made"))
-    return rows.select(*names, F.when(kind == "ip", octets).when(kind == "card", card).when(kind == "name", name).otherwise(F.concat("head", "made", "tail")).alias("surrogate"))
+    # a body out of the entity's form
+    keyed = F.sha2(F.concat_ws(":", "seed", F.lit("free")), 256)
+    letters, digits = F.substring(F.translate(keyed, "0123456789", "qrstuvwxyz"), 1, 20), F.substring(F.translate(keyed, "abcdef", "012345"), 1, 24)
+    groups = lambda text, n, by: F.array_join(F.transform(F.sequence(F.lit(0), F.lit(n - 1)), lambda i: F.substring(text, i * 4 + F.lit(1), F.lit(4))), by)
+    free = (
+        F.when(kind == "secret", F.concat("head", letters, F.regexp_extract("body", "[\"']$", 0)))
+        .when(kind == "email", F.concat(letters, F.regexp_extract("made", "@.*$", 0), "tail"))
+        .when(kind == "name", F.concat(F.when(F.col("given").isNotNull(), F.concat(F.regexp_extract("head", r"^\p{L}+\.? ", 0), F.element_at("given", _number(1) % F.size("given") + 1), F.lit(" "))).otherwise(F.col("head")), F.initcap(letters)))
+        .when(kind == "phone", F.concat(F.when(F.col("head") == "", "+1").otherwise(F.col("head")), F.lit(" "), groups(digits, 5, " ")))
+        .when(kind == "ip", F.concat(F.lit("fd00:"), groups(keyed, 7, ":")))
+        .otherwise(F.concat("head", "made", "tail", digits))
+    )
+    return rows.select(*names, F.when(F.col("free"), free).when(kind == "ip", octets).when(kind == "card", card).when(kind == "name", name).otherwise(F.concat("head", "made", "tail")).alias("surrogate"))
 
 
 def table(entities: DataFrame, key: str) -> DataFrame:
     """entities(kind, entity), distinct -> (kind, entity, surrogate): all surrogates differ from one another and from all entities."""
     rows = cut(with_surrogates(entities.withColumn("attempt", F.lit(0)), key))
-    for _ in range(ROUNDS):
+    while True:
         # of equal surrogates one stays, that of the smallest entity that has made most attempts
         first = rows.groupBy("surrogate").agg(F.min(F.struct((-F.col("attempt")).alias("a"), "kind", "entity")).alias("first"), F.count("*").alias("c")).where("c > 1").select("surrogate", "first")
         real = rows.select(F.col("entity").alias("surrogate")).distinct().withColumn("real", F.lit(True))
@@ -117,7 +136,6 @@ def table(entities: DataFrame, key: str) -> DataFrame:
             return rows.select("kind", "entity", "surrogate")
         anew = with_surrogates(marked.where("again").select("kind", "entity", (F.col("attempt") + 1).alias("attempt")), key)
         rows = cut(marked.where("not again").select("kind", "entity", "attempt", "surrogate").unionByName(anew))
-    raise RuntimeError("surrogates still collide: an entity's form leaves too few others")
 
 
 def replace_entities(docs: DataFrame, key: str = "veranda") -> DataFrame:
