@@ -17,7 +17,7 @@ from veranda.llm.queries import piece_digests, tokenizer
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without a letter, or without a language of mean probability 0.5, go."""
+    """Documents without a letter, or whose words have a largest probability of a language under 0.5 in the mean, go; mixed ones stay."""
     return langid.keep_identified(docs)
 
 

@@ -273,6 +273,19 @@ def test_pii_without_letters_and_in_full_forms(spark, monkeypatch):
     assert len({r.surrogate for r in fakes}) == len(full) == len(fakes) and not {r.surrogate for r in fakes} & {e for _, e in full}
 
 
+def test_language_id_keeps_texts_in_several_languages(spark, docs):
+    by = {}
+    for r in docs.where("length(text) < 3000").orderBy("doc_id").collect():
+        by.setdefault(r.lang, []).append(r.text)
+    some = [by[k][0].split() for k in sorted(by)]
+    mixed = lambda k: "\n".join(" ".join(w[i : i + 40]) for i in (0, 40) for w in [(x * 80)[:80] for x in some[:k]])
+    rows = [(10**6 + k, mixed(k), None) for k in (2, 3, len(some))]
+    table = docs.unionByName(spark.createDataFrame(rows, "doc_id long, text string, lang string"), allowMissingColumns=True)
+    got = {r.doc_id: r for r in langid.identify(table).where("doc_id >= 1000000").collect()}
+    assert got[10**6 + 3].score < 0.5 < 0.8 < min(r.sure for r in got.values())
+    assert {r.doc_id for r in langid.keep_identified(table).where("doc_id >= 1000000").collect()} == set(got)
+
+
 def test_pipeline(spark):
     import corpus_pipeline as p
 

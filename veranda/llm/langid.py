@@ -3,7 +3,8 @@
 A line of a text is a sequence of words, its hidden labels are languages. A word's score for a language sums learned weights of its
 affixes (first and last one to three bytes), of its byte 3-grams (the word's bounds count as bytes) and of the word itself if it is in the
 lexicon (the most common words of the training sample); neighbouring labels add learned transition weights. Forward-backward gives
-each word's probability of each language. A document's language has the largest mean probability over its words, which is the score.
+each word's probability of each language. A document's language has the largest mean probability over its words, which is the score;
+a text in several languages has a low one. How sure the field is of the words is another measure: the mean of each word's largest probability.
 
 The field is fitted on the driver by gradient ascent of the conditional likelihood, on a bounded sample of labelled rows: at most
 `per_language` documents of at most `longest` characters for each language, the first by a hash of doc_id. Half of the training
@@ -219,8 +220,8 @@ def training_sample(docs: DataFrame, per_language: int = PER_LANGUAGE, longest:
 
 
 def identify(docs: DataFrame, model: Model | None = None, per_language: int = PER_LANGUAGE, longest: int = LONGEST) -> DataFrame:
-    """(doc_id, held_out, lang_pred, score, shares, switches) of each row: shares is the mean probability of each language,
-    switches the number of neighbouring words in a line with different most likely languages."""
+    """(doc_id, held_out, lang_pred, score, sure, shares, switches) of each row: shares is the mean probability of each language,
+    sure the mean over words of the largest probability, switches the number of neighbouring words in a line with different most likely languages."""
     docs = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"), F.col("lang").cast("string"))
     if model is None:
         model = fit(*training_sample(docs, per_language, longest))
@@ -234,12 +235,14 @@ def identify(docs: DataFrame, model: Model | None = None, per_language: int = PE
             for a, b in batches(texts, BATCH):
                 n, k = b - a, len(m.languages)
                 letters = np.fromiter((bool(_LETTER.search(t.decode())) for t in texts[a:b]), bool, n)
-                share, switches = np.zeros((n, max(k, 1))), np.zeros(n, np.int64)
+                share, sure, switches = np.zeros((n, max(k, 1))), np.zeros(n), np.zeros(n, np.int64)
                 if k:
                     scores, at, first, count = scored(texts[a:b], m)
                     p = forward_backward(scores, first, count, m.transition)
                     sums = np.concatenate((np.zeros((1, k)), np.cumsum(p, axis=0, dtype=np.float64)))
                     share = (sums[at[1:]] - sums[at[:-1]]) / np.maximum(np.diff(at), 1)[:, None]
+                    largest = np.concatenate(([0.0], np.cumsum(p.max(1), dtype=np.float64)))
+                    sure = (largest[at[1:]] - largest[at[:-1]]) / np.maximum(np.diff(at), 1)
                     best = p.argmax(1)
                     turn = np.zeros(len(best), np.int64)
                     turn[1:] = best[1:] != best[:-1]
@@ -250,15 +253,16 @@ def identify(docs: DataFrame, model: Model | None = None, per_language: int = PE
                 pred = names[np.where(known, share.argmax(1), k)]
                 score = np.where(known, np.clip(share.max(1), 0, 1), 0.0)
                 listed = pa.ListArray.from_arrays(pa.array(np.arange(n + 1, dtype=np.int32) * k), pa.array(share[:, :k].ravel()))
-                yield pa.RecordBatch.from_arrays([batch.column(0)[a:b], pa.array(pred, pa.string()), pa.array(score), listed, pa.array(switches)], ["doc_id", "lang_pred", "score", "shares", "switches"])
+                yield pa.RecordBatch.from_arrays([batch.column(0)[a:b], pa.array(pred, pa.string()), pa.array(score), pa.array(np.where(known, np.clip(sure, 0, 1), 0.0)), listed, pa.array(switches)], ["doc_id", "lang_pred", "score", "sure", "shares", "switches"])
 
-    out = map_arrow(docs.select("doc_id", "text"), run, "doc_id long, lang_pred string, score double, shares array<double>, switches long")
-    return out.select("doc_id", F.coalesce(held_out(F.col("doc_id")), F.lit(False)).alias("held_out"), "lang_pred", "score", "shares", "switches")
+    out = map_arrow(docs.select("doc_id", "text"), run, "doc_id long, lang_pred string, score double, sure double, shares array<double>, switches long")
+    return out.select("doc_id", F.coalesce(held_out(F.col("doc_id")), F.lit(False)).alias("held_out"), "lang_pred", "score", "sure", "shares", "switches")
 
 
 def keep_identified(docs: DataFrame, least: float = 0.5) -> DataFrame:
-    """docs, all columns as they are, without those of no language: no letter, or no language with a mean probability of `least`."""
-    found = identify(docs).where((F.col("lang_pred") == "und") | (F.col("score") < least)).select("doc_id").distinct()
+    """docs, all columns as they are, without those of no language: no letter, or words of which the field is unsure, with a mean of their largest
+    probabilities under `least`. Texts in several languages stay if their words are clear."""
+    found = identify(docs).where((F.col("lang_pred") == "und") | (F.col("sure") < least)).select("doc_id").distinct()
     return without(docs, cut(found))
 
 
