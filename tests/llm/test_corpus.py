@@ -136,6 +136,19 @@ def test_contamination(spark, docs, odd, empty):
     assert decontaminate.decontaminate(docs, bench.limit(0)).count() == docs.count()
 
 
+def test_matches_are_whole_and_nameless_items_count(spark):
+    w = [f"p{i}" for i in range(80)]
+    rows = [(1, "a b " + " ".join(w) + " c"), (2, " ".join(w[5:30]) + " x " + " ".join(w[40:52])), (3, "n0 n1 n2"), (4, " ".join(w[:9]))]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").coalesce(1)
+    bench = spark.createDataFrame([(7, "q " + " ".join(w) + " r"), (None, "n0 n1 n2")], "item_id long, text string")
+    got = {r.doc_id: r for r in decontaminate.contamination(docs, bench, block_bytes=10).collect()}
+    assert [tuple(m) for m in got[1].matches] == [(7, 1, 2, 80)]
+    assert [tuple(m) for m in got[2].matches] == [(7, 6, 0, 25), (7, 41, 26, 12)]
+    assert [tuple(m) for m in got[3].matches] == [(None, 0, 0, 3)] and got[3].n_hit == 3 and got[3]["items"] == [] and got[4].matches == []
+    assert {r.doc_id for r in decontaminate.decontaminate(docs, bench).collect()} == {4}
+    assert (0, 1, 80, 0, 2) in decontaminate.longest_matches([rows[0][1].encode()], [b"q " + " ".join(w).encode() + b" r"])
+
+
 @pytest.mark.parametrize("name", ["byte_bpe_50k.json", "word_bpe_49k.json"])
 def test_encoder_equals_library(name):
     e = tokens.Encoder(queries.tokenizer(name))

@@ -7,7 +7,7 @@ its places. A document is always whole within its shard, so hits are summed in t
 Benchmark items are handed out in blocks of at most block_bytes; one block is held at a time, whatever the benchmark's size.
 
 Odd rows: null or wordless texts have no words and no hits; wordless items never occur; repeated rows and items count each by
-itself (items with equal item_id count once); other columns are passed over."""
+itself (items with equal item_id count once in items); items without item_id count for hits and matches, but aren't in items; other columns are passed over."""
 
 from __future__ import annotations
 
@@ -141,7 +141,7 @@ def _ranks(shard: Shard, hashes: np.ndarray, length: np.ndarray) -> np.ndarray:
 def _blocks(benchmark: DataFrame, block_bytes: int) -> list:
     """Broadcasts of (item ids, texts), each of at most about block_bytes, read one after another."""
     sc, out, ids, texts, size = benchmark.sparkSession.sparkContext, [], [], [], 0
-    for r in benchmark.select(F.col("item_id").cast("long"), F.col("text").cast("string")).where("item_id is not null and text is not null").toLocalIterator():
+    for r in benchmark.select(F.col("item_id").cast("long"), F.col("text").cast("string")).where("text is not null").toLocalIterator():
         body = r[1].encode()
         if ids and size + len(body) > block_bytes:
             out.append(sc.broadcast((ids, texts)))
@@ -153,8 +153,9 @@ def _blocks(benchmark: DataFrame, block_bytes: int) -> list:
 
 
 def contamination(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, block_bytes: int = BLOCK_BYTES) -> DataFrame:
-    """(doc_id, n_words, n_hit, items, spans) per row of docs: the sorted item_ids of which a window occurs verbatim, and the
-    merged [from, to) word ranges that they cover."""
+    """(doc_id, n_words, n_hit, items, spans, matches) per row of docs: the sorted item_ids of which a window occurs verbatim, the
+    merged [from, to) word ranges that they cover, and each verbatim match of a window or more at its whole length (item, item_from, from, length in
+    words). All windows of an item are looked up, so a longer match is a run of hits one word apart on both sides."""
     blocks = _blocks(benchmark, block_bytes)
     one: dict = {}
 
@@ -162,7 +163,8 @@ def contamination(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, b
         if i not in one:
             one.clear()
             ids, texts = blocks[i].value
-            one[i] = (np.array(ids, np.int64), *query_windows(texts, window)[:3])
+            named = np.array([x is not None for x in ids], bool)
+            one[i] = (np.array([0 if x is None else x for x in ids], np.int64), named, *query_windows(texts, window))
         return one[i]
 
     def run(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
@@ -170,15 +172,24 @@ def contamination(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, b
         for a, b in batches(texts):  # one shard at a time: a suffix array takes tens of bytes a word
             s = Shard(texts[a:b], window)
             hit, pair = np.zeros(len(s.token) + 1, np.int64), []
+            found = [np.zeros((6, 0), np.int64)]
             for i in range(len(blocks)):
-                ids, hashes, length, own = queries(i)
+                ids, named, hashes, length, own, start = queries(i)
                 lo, hi, best = s.ranges(_ranks(s, hashes, length), length)
                 w = np.flatnonzero((best == length) & (length > 0))
                 at = s.order[ragged(lo[w], hi[w] - lo[w])]
                 w = np.repeat(w, hi[w] - lo[w])
                 np.add.at(hit, at, 1)
                 np.add.at(hit, at + length[w], -1)
-                pair.append(np.unique(np.stack((np.searchsorted(s.begin, at, "right") - 1, ids[own[w]]), 1), axis=0))
+                of = np.searchsorted(s.begin, at, "right") - 1
+                k = named[own[w]]
+                pair.append(np.unique(np.stack((of[k], ids[own[w[k]]]), 1), axis=0))
+                if len(w):
+                    o = np.lexsort((start[w], at - start[w], own[w]))
+                    at, w, of = at[o], w[o], of[o]
+                    same = (own[w[1:]] == own[w[:-1]]) & (at[1:] == at[:-1] + 1) & (start[w[1:]] == start[w[:-1]] + 1)
+                    a0, a1 = np.flatnonzero(np.append(True, ~same)), np.flatnonzero(np.append(~same, True))
+                    found.append(np.stack((of[a0], at[a0] - s.begin[of[a0]], ids[own[w[a0]]], named[own[w[a0]]], start[w[a0]], a1 - a0 + length[w[a0]])))
             cover = (np.cumsum(hit)[:-1] > 0).astype(np.int8)
             edge = np.flatnonzero(np.diff(np.concatenate(([0], cover, [0])))).reshape(-1, 2)
             doc = np.searchsorted(s.begin, edge[:, 0], "right") - 1
@@ -188,16 +199,21 @@ def contamination(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, b
             spans = pa.ListArray.from_arrays(pa.array(at), pa.StructArray.from_arrays([pa.array(edge[:, 0]), pa.array(edge[:, 1])], ["from", "to"]))
             both = np.unique(np.concatenate(pair), axis=0) if pair else np.zeros((0, 2), np.int64)
             of = np.concatenate(([0], np.cumsum(np.bincount(both[:, 0], minlength=b - a)))).astype(np.int32)
-            yield pa.RecordBatch.from_arrays([batch.column(0)[a:b], pa.array(s.n_words.astype(np.int64)), pa.array(n_hit), pa.ListArray.from_arrays(pa.array(of), pa.array(both[:, 1])), spans], ["doc_id", "n_words", "n_hit", "items", "spans"])
+            m = np.concatenate(found, axis=1)
+            m = m[:, np.lexsort(m[[4, 2, 1, 0]])]
+            ends = np.concatenate(([0], np.cumsum(np.bincount(m[0], minlength=b - a)))).astype(np.int32)
+            matches = pa.ListArray.from_arrays(pa.array(ends), pa.StructArray.from_arrays([pa.array(m[2], mask=m[3] == 0), pa.array(m[4]), pa.array(m[1]), pa.array(m[5])], ["item", "item_from", "from", "length"]))
+            yield pa.RecordBatch.from_arrays([batch.column(0)[a:b], pa.array(s.n_words.astype(np.int64)), pa.array(n_hit), pa.ListArray.from_arrays(pa.array(of), pa.array(both[:, 1])), spans, matches], ["doc_id", "n_words", "n_hit", "items", "spans", "matches"])
 
-    return map_batches(docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")), run, "doc_id long, n_words long, n_hit long, items array<long>, spans array<struct<from: long, to: long>>")
+    return map_batches(docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")), run, "doc_id long, n_words long, n_hit long, items array<long>, spans array<struct<from: long, to: long>>, matches array<struct<item: long, item_from: long, from: long, length: long>>")
 
 
-def longest_matches(texts: list[bytes], items: list[bytes], limit: int = 64) -> list[tuple[int, int, int, int, int]]:
-    """For each suffix of each item its longest verbatim match of at most limit words in the texts:
+def longest_matches(texts: list[bytes], items: list[bytes], limit: int | None = None) -> list[tuple[int, int, int, int, int]]:
+    """For each suffix of each item its longest verbatim match in the texts (of at most limit words, if given):
     (item, first word, length, text, first word there). A plain function for reports on a few texts."""
-    s = Shard(texts, limit)
     h, at, _, _ = words(items, NOT_ALNUM, lower=True)
+    limit = limit or max(2, int(np.diff(at).max(initial=0)))
+    s = Shard(texts, limit)
     own = np.repeat(np.arange(len(items)), np.diff(at))
     length = np.minimum(at[own + 1] - np.arange(len(h)), limit)
     i = np.arange(len(h))[:, None] + np.arange(limit)
