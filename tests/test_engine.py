@@ -88,6 +88,17 @@ def test_fit_line():
     assert math.isclose(a, 1.1) and math.isclose(b, 3, abs_tol=1e-9) and n == 20
 
 
+def test_fit_line_uses_all_points():
+    g = np.random.default_rng(2)
+    u = np.arange(0, 1000, 1.0)
+    v = np.where(u < 400, g.uniform(-5000, 5000, 1000), 1.1 * u + 3)
+    a, b, n = K.fit_line(u, v, 1.0)
+    assert math.isclose(a, 1.1, abs_tol=1e-3) and n >= 600
+    x, y = g.uniform(0, 100, 40), g.uniform(0, 100, 40)
+    lines = [(s, y[i] - s * x[i]) for i in range(40) for j in range(i + 1, 40) if abs(x[j] - x[i]) >= 10 and 0.7 < (s := (y[j] - y[i]) / (x[j] - x[i])) < 1.3]
+    assert K.fit_line(x, y, 5.0)[2] == max(int((np.abs(s * x + c - y) < 5).sum()) for s, c in lines)
+
+
 def test_as_of_takes_the_last_at_or_before(spark):
     left = spark.createDataFrame([("a", 5, 1), ("a", 1, 2), ("b", 9, 3)], "k string, at int, id int")
     right = spark.createDataFrame([("a", 2, 20.0), ("a", 5, 50.0)], "k string, at int, v double")
