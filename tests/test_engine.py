@@ -158,6 +158,13 @@ def test_query_equals_sql(spark, name):
     assert sorted("|".join(norm(x[c]) for c in columns) for x in df.collect()) == sorted("|".join(norm(dict(zip(names, x))[c]) for c in columns) for x in r.fetchall())
 
 
+@pytest.mark.parametrize("name", ["win2_context_each"])
+def test_context_of_every_word_equals_sql(spark, name):
+    test_query_equals_sql(spark, name)
+    words = sum(len(r.ws) for r in spark.read.parquet(f"{SF}/documents.parquet").select(S.split_words("text").alias("ws")).collect())
+    assert engine.queries()[name](spark, SF).count() == words
+
+
 def test_entry_imports():
     import __spark_entry__ as e
 

@@ -535,6 +535,16 @@ def win2(t):
     return at.select("page_num", "pos", join(F.col("pos") - 9, F.lit(10)).alias("before"), join(F.col("pos") + 2, F.lit(10)).alias("after"))
 
 
+@query("win2_context_each", f"""with {_WORDS} select page_num, pos, string_agg(text, ' ') over (partition by page_num order by pos rows between 10 preceding and 1 preceding) as before,
+    string_agg(text, ' ') over (partition by page_num order by pos rows between 1 following and 10 following) as after from words""")
+def win2_each(t):
+    """The same for every word of every page."""
+    ws = t.documents.select(F.col("doc_id").alias("page_num"), S.split_words("text").alias("ws")).where(F.size("ws") > 0)
+    join = lambda lo, n: F.nullif(F.array_join(F.slice("ws", lo, n), " "), F.lit(""))
+    at = F.transform(F.sequence(F.lit(0), F.size("ws") - 1), lambda p: F.struct(p.alias("pos"), join(F.greatest(p - 9, F.lit(1)), F.least(p, F.lit(10))).alias("before"), join(p + 2, F.lit(10)).alias("after")))
+    return ws.select("page_num", F.inline(at))
+
+
 @query("win3_win4_win9_orders", """select l_orderkey, l_linenumber, row_number() over (partition by l_suppkey order by round_even(l_quantity / 8, 0), l_extendedprice, l_orderkey, l_linenumber) as n from lineitem""")
 def win3(t):
     w = Window.partitionBy("l_suppkey").orderBy(F.bround(F.col("l_quantity") / 8, 0), "l_extendedprice", "l_orderkey", "l_linenumber")
