@@ -6,10 +6,12 @@ lexicon (the most common words of the training sample); neighbouring labels add
 each word's probability of each language. A document's language has the largest mean probability over its words, which is the score;
 a text in several languages has a low one. How sure the field is of the words is another measure: the mean of each word's largest probability.
 
-The field is fitted on the driver by gradient ascent of the conditional likelihood, on a bounded sample of labelled rows: at most
-`per_language` documents of at most `longest` characters for each language, the first by a hash of doc_id. Half of the training
+The field is fitted by gradient ascent of the conditional likelihood, on a bounded sample of labelled rows: at most `per_language`
+documents of at most `longest` characters for each language, the first by a hash of doc_id. One task fits it and hands the driver the
+model alone; it keeps some 10 bytes for each byte of the sample and works through the rest CHUNK words at a time. Half of the training
 sequences are the documents' own lines, half are mixed from runs of words of different languages, so that transitions know switches.
-Prediction sees text only and covers all words of all texts; the model is a few MB whatever the corpus.
+Prediction sees text only and covers all words of all texts; the model is a few MB whatever the corpus. A long line costs no more steps
+than a short one: it is cut into segments, whose products of transitions hand the messages over exactly.
 
 Odd rows: null texts and texts without a letter are `und` with score 0; without any labelled row everything is `und`; rows without lang,
 or without doc_id, are not learned from; repeated rows count each. Other columns are passed over."""
@@ -21,6 +23,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import regex
+from pyspark import Broadcast
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -31,6 +34,8 @@ PER_LANGUAGE, LONGEST, LEXICON, BITS = 150, 20_000, 20_000, 16
 #: Lines of so many bytes of text go through forward-backward together; features are looked up for PART bytes at a time, as those
 #: take some hundred bytes for each byte of text. A longer text is a part of its own.
 BATCH, PART = 1 << 21, 1 << 19
+#: Words of training sequences that are worked through together; words of a segment of a line.
+CHUNK, SEGMENT = 1 << 15, 64
 _LETTER = regex.compile(r"\p{L}")
 
 
@@ -100,85 +105,153 @@ class Model:
         return [self.grams, *self.affixes, self.words, self.transition]
 
 
-def forward_backward(scores: np.ndarray, first: np.ndarray, count: np.ndarray, transition: np.ndarray, pairs: bool = False):
-    """Marginals of each word; with pairs also the log-likelihood's normaliser and the expected transitions, summed."""
-    n = scores.shape[1]
-    e = np.exp(scores - scores.max(1, keepdims=True)) if len(scores) else scores
-    a = np.exp(transition - transition.max())
+def _messages(e: np.ndarray, first: np.ndarray, count: np.ndarray, a: np.ndarray, head: np.ndarray | None = None, tail: np.ndarray | None = None):
+    """Normalised forward and backward messages of each word of some runs of words, their norms' logarithms added up, and the runs'
+    order by length. head and tail: what reaches a run's first word from before it and its last one from behind, ones if not given."""
     order = np.argsort(-count, kind="stable")
     first, count = first[order], count[order]
-    alive = np.searchsorted(-count, -np.arange(1, int(count.max(initial=0)) + 1), "right")  # lines of over t words
-    alpha, beta = np.empty_like(e), np.empty_like(e)
-    norm = 0.0
+    alive = np.searchsorted(-count, -np.arange(1, int(count.max(initial=0)) + 1), "right")  # runs of over t words
+    alpha, beta = np.zeros_like(e), np.zeros_like(e)
+    norm, last = 0.0, None
     for t, m in enumerate(alive):
         i = first[:m] + t
-        x = e[i] if t == 0 else (last[:m] @ a) * e[i]  # noqa: F821
+        x = (e[i] if head is None else head[order[:m]] * e[i]) if t == 0 else (last[:m] @ a) * e[i]
         z = x.sum(1, keepdims=True)
         last = x / z
         alpha[i] = last
-        if pairs:
-            norm += float(np.log(z).sum())
-    back = np.ones((len(first), n), e.dtype)
-    expected = np.zeros((n, n))
+        norm += float(np.log(z).sum())
+    back = np.ones((len(first), e.shape[1]), e.dtype) if tail is None else tail[order].copy()
     for t in range(len(alive) - 1, -1, -1):
-        m = alive[t]
-        i = first[:m] + t
+        i = first[: alive[t]] + t
         if t + 1 < len(alive):
             k = alive[t + 1]
-            j = first[:k] + t + 1
-            x = e[j] * back[:k]
-            if pairs:
-                both = alpha[i[:k]][:, :, None] * a[None] * x[:, None, :]
-                expected += (both / both.sum((1, 2), keepdims=True)).sum(0)
-            y = x @ a.T
+            y = (e[first[:k] + t + 1] * back[:k]) @ a.T
             back[:k] = y / y.sum(1, keepdims=True)
-        beta[i] = back[:m]
+        beta[i] = back[: alive[t]]
+    return alpha, beta, norm
+
+
+def _segments(e: np.ndarray, first: np.ndarray, count: np.ndarray, a: np.ndarray, width: int):
+    """Lines cut into segments of at most width words: their first words, lengths, and what reaches each from before and from behind."""
+    parts = -(-count // width)
+    line = np.repeat(np.arange(len(count)), parts)
+    k = ragged(np.zeros(len(count), np.int64), parts)
+    start, size = first[line] + k * width, np.minimum(count[line] - k * width, width)
+    n = e.shape[1]
+    product = np.zeros((len(start), n, n), e.dtype)  # from a segment's first message to its last one
+    product[:, np.arange(n), np.arange(n)] = e[start]
+    for t in range(1, int(size.max(initial=0))):
+        on = np.flatnonzero(size > t)
+        x = (product[on] @ a) * e[start[on] + t][:, None, :]
+        product[on] = x / x.sum((1, 2), keepdims=True)
+    head, tail = np.ones((len(start), n), e.dtype), np.ones((len(start), n), e.dtype)
+    at = np.cumsum(parts) - parts
+    for j in range(1, int(parts.max(initial=0))):
+        i = at[parts > j] + j
+        x = (head[i - 1][:, None, :] @ product[i - 1])[:, 0, :] @ a
+        head[i] = x / x.sum(1, keepdims=True)
+        i = at[parts > j] + parts[parts > j] - 1 - j
+        y = (product[i + 1] @ tail[i + 1][:, :, None])[:, :, 0] @ a.T
+        tail[i] = y / y.sum(1, keepdims=True)
+    return start, size, head, tail
+
+
+def forward_backward(scores: np.ndarray, first: np.ndarray, count: np.ndarray, transition: np.ndarray, width: int = SEGMENT) -> np.ndarray:
+    """Marginals of each word."""
+    e = np.exp(scores - scores.max(1, keepdims=True)) if len(scores) else scores
+    a = np.exp(transition - transition.max())
+    long = count > 4 * width
+    alpha, beta, _ = _messages(e, first[~long], count[~long], a)
     p = alpha * beta
-    p /= p.sum(1, keepdims=True)
-    if not pairs:
-        return p
-    return p, norm + float(scores.max(1).sum()) + transition.max() * float((count - 1).sum()), expected
+    if long.any():
+        start, size, head, tail = _segments(e, first[long], count[long], a, width)
+        alpha, beta, _ = _messages(e, start, size, a, head, tail)
+        own = ragged(start, size)
+        p[own] = alpha[own] * beta[own]
+    return p / p.sum(1, keepdims=True)
 
 
-def fit(texts: list[str], labels: list[str], rounds: int = 12, lexicon: int = LEXICON, seed: int = 5) -> Model:
+def _expected(scores: np.ndarray, first: np.ndarray, count: np.ndarray, transition: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Marginals of each word, and the expected numbers of transitions."""
+    e = np.exp(scores - scores.max(1, keepdims=True))
+    a = np.exp(transition - transition.max())
+    alpha, beta, _ = _messages(e, first, count, a)
+    inside = np.ones(len(e), bool)
+    inside[first] = False
+    j = np.flatnonzero(inside)
+    left, right = alpha[j - 1], e[j] * beta[j]
+    total = np.einsum("ij,jk,ik->i", left, a, right, optimize=True)
+    p = alpha * beta
+    return p / p.sum(1, keepdims=True), a * (left.T @ (right / total[:, None]))
+
+
+def fit(texts: list[str], labels: list[str], rounds: int = 12, lexicon: int = LEXICON, seed: int = 5, chunk: int = CHUNK) -> Model:
     languages = sorted(set(labels))
     texts_b = [t.encode() for t in texts]
-    w = Words(texts_b, np.zeros(0, U64))
-    label = np.repeat(np.array([languages.index(x) for x in labels]), np.diff(w.at))
-    u, number = np.unique(w.hash, return_counts=True)
-    model = Model(languages, np.sort(u[np.argsort(-number, kind="stable")[:lexicon]]))
-    if not len(label):
+    parts = list(batches(texts_b, PART))
+    found, number = np.zeros(0, U64), np.zeros(0, np.int64)
+    for x, y in parts:
+        u, c = np.unique(words([lowered(np.frombuffer(t, np.uint8)).tobytes() for t in texts_b[x:y]])[0], return_counts=True)
+        found, at = np.unique(np.concatenate((found, u)), return_inverse=True)
+        number = np.bincount(at, np.concatenate((number, c)), len(found)).astype(np.int64)
+    model = Model(languages, np.sort(found[np.argsort(-number, kind="stable")[:lexicon]]))
+    # features in narrow integers: of each byte its 3-gram, of each word its bytes, affixes and place in the lexicon
+    grams, affixes, start, size, lexical, label, first, count, chars, total = [], [], [], [], [], [], [], [], 0, 0
+    for x, y in parts:
+        w = Words(texts_b[x:y], model.lexicon)
+        f, c = w.lines()
+        grams.append(w.grams.astype(np.uint16))
+        affixes.append(np.stack(w.affixes, 1).astype(np.uint16))
+        start.append(w.start + chars)
+        size.append(w.end - w.start)
+        lexical.append(w.lexical.astype(np.int32))
+        label.append(np.repeat(np.array([languages.index(t) for t in labels[x:y]], np.int16), np.diff(w.at)))
+        n = -(-c // SEGMENT)  # long lines are cut for training
+        k = ragged(np.zeros(len(c), np.int64), n) * SEGMENT
+        first.append(np.repeat(f, n) + k + total)
+        count.append(np.minimum(np.repeat(c, n) - k, SEGMENT))
+        chars, total = chars + len(grams[-1]), total + len(w.start)
+    if not total:
         return model
-    w = Words(texts_b, model.lexicon)
-    first, count = w.lines()
+    grams, affixes, start, size, lexical, label = (np.concatenate(z) for z in (grams, affixes, start, size, lexical, label))
+    first, count = np.concatenate(first), np.concatenate(count)
     # mixed sequences: runs of 1 to 12 words from random places, 8 runs each
     g = np.random.Generator(np.random.PCG64(seed))
-    run_n = g.integers(1, 13, max(1, len(label) // 7))
-    run_at = np.minimum(g.integers(0, len(label), len(run_n)), np.maximum(len(label) - run_n, 0))
-    run_n = np.minimum(run_n, len(label))
-
-    token = np.concatenate((np.arange(len(label)), ragged(run_at, run_n)))
-    total = np.add.reduceat(run_n, np.arange(0, len(run_n), 8))
-    first = np.concatenate((first, len(label) + np.cumsum(total) - total))
-    count = np.concatenate((count, total))
-    gold = np.zeros((len(token), len(languages)), np.float32)
-    gold[np.arange(len(token)), label[token]] = 1
-    inside = np.ones(len(token), bool)
-    inside[first] = False
-    seen = np.zeros((len(languages),) * 2)
-    np.add.at(seen, (label[token[:-1]][inside[1:]], label[token[1:]][inside[1:]]), 1)
-    step, size = [np.zeros_like(t) for t in model.tables()], 0.5
-    cover = np.diff(np.stack((w.start, w.end), 1)).ravel()
-    places = ragged(w.start, cover)
+    run_n = g.integers(1, 13, max(1, total // 7))
+    run_at = np.minimum(g.integers(0, total, len(run_n)), np.maximum(total - run_n, 0))
+    run_n = np.minimum(run_n, total)
+    token = np.concatenate((ragged(first, count), ragged(run_at, run_n))).astype(np.int32)
+    count = np.concatenate((count, np.add.reduceat(run_n, np.arange(0, len(run_n), 8))))
+    ends = np.cumsum(count)
+    cuts = np.unique(np.searchsorted(ends, np.arange(chunk, ends[-1] + chunk, chunk)).clip(0, len(ends) - 1)) + 1  # sequences of each chunk
+    step, rate = [np.zeros_like(t) for t in model.tables()], 0.5
     for _ in range(rounds):
-        p, _, expected = forward_backward(w.scores(model)[token], first, count, model.transition, True)
-        d = np.stack([np.bincount(token, (gold - p)[:, c], len(label)) for c in range(len(languages))], 1)
-        spread = np.repeat(d, cover, axis=0)
-        grads = [_summed(w.grams[places], spread, 1 << BITS), *(_summed(i, d, 1 << BITS) for i in w.affixes), _summed(w.lexical, d, len(model.lexicon) + 1), (seen - expected)]
+        grads = [np.zeros(t.shape) for t in model.tables()]
+        lo = 0
+        for hi in cuts:
+            begin = int(ends[lo - 1]) if lo else 0
+            own, n = token[begin : ends[hi - 1]], count[lo:hi]
+            at, cover = np.cumsum(n) - n, size[own]
+            gram, of = grams[ragged(start[own], cover)], np.cumsum(cover)
+            sums = np.concatenate((np.zeros((1, len(languages))), np.cumsum(model.grams[gram], axis=0, dtype=np.float64)))
+            scores = sums[of] - sums[of - cover]
+            for table, i in zip(model.affixes, affixes[own].T, strict=True):
+                scores += table[i]
+            p, expected = _expected((scores + model.words[lexical[own]]).astype(np.float32), at, n, model.transition)
+            d = -p
+            d[np.arange(len(own)), label[own]] += 1
+            inside = np.ones(len(own), bool)
+            inside[at] = False
+            np.add.at(grads[-1], (label[own[:-1]][inside[1:]], label[own[1:]][inside[1:]]), 1)
+            grads[-1] -= expected
+            for grad, i, x in ((grads[0], gram, np.repeat(d, cover, axis=0)), *zip(grads[1:7], affixes[own].T, [d] * 6, strict=True), (grads[7], lexical[own], d)):
+                for c in range(len(languages)):
+                    grad[:, c] += np.bincount(i, x[:, c], len(grad))
+            lo = hi
         for table, grad, acc in zip(model.tables(), grads, step, strict=True):
             grad = grad / len(token) - 1e-7 * table
             acc += grad * grad
-            table += (size * grad / (np.sqrt(acc) + 1e-8)).astype(np.float32)
+            table += (rate * grad / (np.sqrt(acc) + 1e-8)).astype(np.float32)
     return model
 
 
@@ -196,37 +269,50 @@ def scored(texts: list[bytes], m: Model, part: int = PART) -> tuple[np.ndarray,
     return np.concatenate(scores), np.concatenate(at), np.concatenate(first), np.concatenate(count)
 
 
-def _summed(index: np.ndarray, d: np.ndarray, size: int) -> np.ndarray:
-    return np.stack([np.bincount(index, d[:, c], size) for c in range(d.shape[1])], 1)
-
-
 def held_out(doc_id):
     """Column: crc32 of the doc_id as text, modulo 3, is 1."""
     return F.crc32(doc_id.cast("string").cast("binary")) % 3 == 1
 
 
-def training_sample(docs: DataFrame, per_language: int = PER_LANGUAGE, longest: int = LONGEST) -> tuple[list[str], list[str]]:
+def training_sample(docs: DataFrame, per_language: int = PER_LANGUAGE, longest: int = LONGEST) -> DataFrame:
+    """(lang, doc_id, text): per_language rows of each language at most, in no order."""
     rows = docs.where(F.col("lang").isNotNull() & F.col("doc_id").isNotNull() & F.col("text").isNotNull() & (F.length("text") <= longest) & ~held_out(F.col("doc_id")))
     counts = {r["lang"]: r["count"] for r in rows.groupBy("lang").count().collect()}  # a row per language
-    if not counts:
-        return [], []
     # first a share by hash that holds enough of each language almost surely, then exactly the first ones
-    share = F.create_map(*[F.lit(x) for k, n in counts.items() for x in (k, min(1.0, (2 * per_language + 50) / n))])
+    share = F.create_map(*[F.lit(x) for k, n in counts.items() for x in (k, min(1.0, (2 * per_language + 50) / n))]) if counts else F.create_map(F.lit(""), F.lit(0.0))
     place = F.pmod(F.xxhash64("doc_id"), F.lit(1 << 30)) / (1 << 30)
     few = rows.where(place < share[F.col("lang")]).select("lang", "text", "doc_id", place.alias("place"))
     first = F.row_number().over(Window.partitionBy("lang").orderBy("place", "doc_id", "text"))
-    sample = sorted(few.withColumn("n", first).where(F.col("n") <= per_language).select("lang", "doc_id", "text").collect())
-    return [r["text"] for r in sample], [r["lang"] for r in sample]
+    return few.withColumn("n", first).where(F.col("n") <= per_language).select("lang", "doc_id", "text")
+
+
+def fit_sample(sample: DataFrame) -> Model:
+    """The model of training_sample()'s rows, which are few, fitted by one task; the driver gets its tables."""
+
+    def run(source: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rows = sorted(r for b in source for r in zip(*(b.column(i).to_pylist() for i in range(3)), strict=True))
+        m = fit([t for _, _, t in rows], [x for x, _, _ in rows])
+        tables = [m.lexicon.view(np.int64), *m.tables()]
+        yield pa.RecordBatch.from_arrays([pa.array([m.languages] * len(tables), pa.list_(pa.string())), pa.array(range(len(tables)), pa.int32()), pa.array([t.tobytes() for t in tables], pa.binary())], ["languages", "k", "table"])
+
+    rows = sorted(map_arrow(sample.coalesce(1), run, "languages array<string>, k int, table binary").collect(), key=lambda r: r["k"])
+    if not rows:
+        return Model([], np.zeros(0, U64))
+    m = Model(list(rows[0]["languages"]), np.frombuffer(rows[0]["table"], U64))
+    for into, r in zip(m.tables(), rows[1:], strict=True):
+        into[...] = np.frombuffer(r["table"], np.float32).reshape(into.shape)
+    return m
 
 
 def identify(docs: DataFrame, model: Model | None = None, per_language: int = PER_LANGUAGE, longest: int = LONGEST) -> DataFrame:
     """(doc_id, held_out, lang_pred, score, sure, shares, switches) of each row: shares is the mean probability of each language,
     sure the mean over words of the largest probability, switches the number of neighbouring words in a line with different most likely languages."""
     docs = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"), F.col("lang").cast("string"))
-    if model is None:
-        model = fit(*training_sample(docs, per_language, longest))
-    sent = docs.sparkSession.sparkContext.broadcast(model)
+    sent = docs.sparkSession.sparkContext.broadcast(fit_sample(training_sample(docs, per_language, longest)) if model is None else model)
+    return _judged(docs, sent)
+
 
+def _judged(docs: DataFrame, sent: Broadcast) -> DataFrame:
     def run(source: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = sent.value
         names = np.array([*m.languages, "und"], object)
@@ -262,7 +348,8 @@ def identify(docs: DataFrame, model: Model | None = None, per_language: int = PE
 def keep_identified(docs: DataFrame, least: float = 0.5) -> DataFrame:
     """docs, all columns as they are, without those of no language: no letter, or words of which the field is unsure, with a mean of their largest
     probabilities under `least`. Texts in several languages stay if their words are clear."""
-    found = identify(docs).where((F.col("lang_pred") == "und") | (F.col("sure") < least)).select("doc_id").distinct()
-    return without(docs, cut(found))
-
-
+    rows = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"), F.col("lang").cast("string"))
+    sent = docs.sparkSession.sparkContext.broadcast(fit_sample(training_sample(rows)))
+    found = cut(_judged(rows, sent).where((F.col("lang_pred") == "und") | (F.col("sure") < least)).select("doc_id").distinct())
+    sent.destroy()
+    return without(docs, found)
