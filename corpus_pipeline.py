@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from veranda.llm import decontaminate, langid, near_dedup, packing, pii
 from veranda.llm.common import checkpoint_dir, table
-from veranda.llm.queries import piece_digests, tokenizer
+from veranda.llm.queries import piece_digests, pii_key, tokenizer
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -33,7 +33,7 @@ def benchmark_decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str)
 
 def pii_surrogates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Personal data and secrets in texts are replaced; n_chars follows the text."""
-    out = pii.replace_entities(docs)
+    out = pii.replace_entities(docs, pii_key(spark), report=False)
     return out.select(*[F.length("text").cast("long").alias(c) if c == "n_chars" else c for c in docs.columns])
 
 
