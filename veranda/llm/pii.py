@@ -11,11 +11,15 @@ Letters and digits of other scripts get Latin letters of their case and digits.
 Collision checks: a surrogate that equals any detected entity, or that of another entity, is made anew with the next attempt, until none
 collides. A body without letters and digits, and after ROUNDS attempts any other (its form may be full), is given up for a keyed one of 80 bits
 or more, so that there is always a free one: letters in a secret, a mail's local part or a name, twenty digits in a phone number,
-an IPv6 address for an IP address, further digits behind other numbers. A text is rebuilt from its pieces between entities, so what is found is what is replaced. Texts without entities pass where
-they are read; of the others only the distinct entities, with a key of the text, are moved to be joined with their surrogates; an entity that is in
-very many texts is one row of the table of surrogates, and its side of the join may be split.
+an IPv6 address for an IP address, further digits behind other numbers; so are bodies of over LONGEST characters. A text is rebuilt from its
+pieces between entities, so what is found is what is replaced. A run of 13 to 19 digits is a card only if its check digit is right. Texts without
+entities pass where they are read; of the others the distinct entities, with a key of the text, are moved to be joined with their surrogates, and the
+texts once to be joined with theirs; an entity or a text that is very common is one row of the smaller side, and the other side of the join may be split.
 
-Odd rows: null texts stay null; rows without doc_id are treated like others; equal texts have equal results; all other columns stay as they are."""
+All patterns repeat groups a bounded number of times, so a text of any length and form needs a bounded stack.
+
+Odd rows: null texts stay null; rows without doc_id are treated like others; equal texts have equal results; all other columns stay as they are,
+whatever their names, but that a report's two columns take the place of columns of the same names."""
 
 from __future__ import annotations
 
@@ -38,7 +42,7 @@ NAMES = {
 }
 #: Patterns by kind, the first that fits a found string names its kind.
 KINDS = {
-    "email": r"(?<![A-Za-z0-9._%+\-])[A-Za-z0-9][A-Za-z0-9._%+\-]{0,63}@[A-Za-z0-9\-]+(?:\.[A-Za-z0-9\-]+)*\.[A-Za-z]{2,}",
+    "email": r"(?<![A-Za-z0-9._%+\-])[A-Za-z0-9][A-Za-z0-9._%+\-]{0,63}@[A-Za-z0-9\-]{1,63}(?:\.[A-Za-z0-9\-]{1,63}){0,126}\.[A-Za-z]{2,63}",
     "secret": r"(?i:pass(?:word|wd)?|pwd|token|secret|api[_-]?key|access[_-]?key)\s*[=:]\s*(?:\"[^\"\s]{6,}\"|'[^'\s]{6,}'|[^\s\"',;]{6,})",
     "key": r"\b(?:AKIA|ASIA)[A-Z0-9]{16}\b|\bgh[pousr]_[A-Za-z0-9]{20,}\b|\bsk-[A-Za-z0-9]{20,}\b",
     "ip": r"(?<![\d.])(?:(?:25[0-5]|2[0-4]\d|1?\d?\d)\.){3}(?:25[0-5]|2[0-4]\d|1?\d?\d)(?!\d|\.\d)",
@@ -49,8 +53,8 @@ KINDS = {
     "name": r"\b(?:" + "|".join([*MALE, *FEMALE, "Dr", "Prof"]) + r")\b\.? \p{Lu}[\p{L}'’-]+(?: \p{Lu}[\p{L}'’-]+)?",
 }
 PATTERN = "|".join(f"(?:{p})" for p in KINDS.values())
-#: So many attempts keep an entity's form.
-ROUNDS = 24
+#: So many attempts keep an entity's form; longer bodies don't keep it.
+ROUNDS, LONGEST = 24, 256
 
 
 def kind_of(entity: Column) -> Column:
@@ -85,16 +89,17 @@ def with_surrogates(rows: DataFrame, key: str) -> DataFrame:
     kind, entity = F.col("kind"), F.col("entity")
     names = rows.columns
     rows = rows.withColumn("seed", F.sha2(F.concat_ws("\n", F.lit(key), kind, F.col("attempt").cast("string"), entity), 256))
-    rows = rows.withColumn("stream", F.array_join(F.transform(F.sequence(F.lit(0), (F.length(entity) / 16).cast("int") + 1), lambda i: F.sha2(F.concat_ws(":", "seed", i.cast("string")), 256)), ""))
+    rows = rows.withColumn("stream", F.array_join(F.transform(F.sequence(F.lit(0), (F.least(F.length(entity), F.lit(2 * LONGEST)) / 16).cast("int") + 1), lambda i: F.sha2(F.concat_ws(":", "seed", i.cast("string")), 256)), ""))
     heads = {"secret": r"^[^=:]*[=:]\s*[\"']?", "key": r"^(?:AKIA|ASIA|gh[pousr]_|sk-)", "phone": r"^\+\d{1,3}(?=[^\d])", "card": r"^\d", "iban": r"^..", "name": r"^\p{L}+\.? (?:\S+ (?=\S))?"}
     head = reduce(lambda c, k: c.when(kind == k, F.regexp_extract(entity, heads[k], 0)), heads, F.when(kind == "email", "")).otherwise("")
     tail = F.when(kind == "email", F.regexp_extract(entity, r"\.[^.]*$", 0)).otherwise("")
     rows = rows.withColumn("head", head).withColumn("tail", tail)
     rows = rows.withColumn("body", F.substring(entity, F.length("head") + 1, F.length(entity) - F.length("head") - F.length("tail")))
+    rows = rows.withColumn("end", F.regexp_extract("body", "[\"']$", 0)).withColumn("long", F.length("body") > LONGEST).withColumn("body", F.substring("body", 1, LONGEST))
     alphabet = lambda c: reduce(lambda w, x: w.when(F.regexp_like(c, F.lit(x[0])), x[1]), ALPHABETS, F.when((kind == "secret") & F.col("hexadecimal") & F.regexp_like(c, F.lit("[0-9a-f]")), "0123456789abcdef")).otherwise(c)
     rows = rows.withColumn("hexadecimal", F.regexp_like("body", F.lit("^[0-9a-f]+[\"']?$")))
     chars = F.transform(F.filter(F.split("body", ""), lambda c: c != ""), lambda c: alphabet(c))
-    rows = rows.withColumn("free", (F.col("attempt") >= ROUNDS) | ~F.exists(chars, lambda a: F.length(a) > 1))
+    rows = rows.withColumn("free", (F.col("attempt") >= ROUNDS) | F.col("long") | ~F.exists(chars, lambda a: F.length(a) > 1))
     rows = rows.withColumn("made", F.array_join(F.transform(chars, lambda a, i: F.substring(a, _number(i) % F.length(a) + F.lit(1), F.lit(1))), ""))
     # a number's check digit is right if it was right
     plain = F.regexp_replace(F.concat("head", F.substring(F.col("made"), F.lit(1), F.length("made") - 1), F.lit("0")), "[^0-9]", "")
@@ -111,7 +116,7 @@ def with_surrogates(rows: DataFrame, key: str) -> DataFrame:
     letters, digits = F.substring(F.translate(keyed, "0123456789", "qrstuvwxyz"), 1, 20), F.substring(F.translate(keyed, "abcdef", "012345"), 1, 24)
     groups = lambda text, n, by: F.array_join(F.transform(F.sequence(F.lit(0), F.lit(n - 1)), lambda i: F.substring(text, i * 4 + F.lit(1), F.lit(4))), by)
     free = (
-        F.when(kind == "secret", F.concat("head", letters, F.regexp_extract("body", "[\"']$", 0)))
+        F.when(kind == "secret", F.concat("head", letters, F.col("end")))
         .when(kind == "email", F.concat(letters, F.regexp_extract("made", "@.*$", 0), "tail"))
         .when(kind == "name", F.concat(F.when(F.col("given").isNotNull(), F.concat(F.regexp_extract("head", r"^\p{L}+\.? ", 0), F.element_at("given", _number(1) % F.size("given") + 1), F.lit(" "))).otherwise(F.col("head")), F.initcap(letters)))
         .when(kind == "phone", F.concat(F.when(F.col("head") == "", "+1").otherwise(F.col("head")), F.lit(" "), groups(digits, 5, " ")))
@@ -138,23 +143,28 @@ def table(entities: DataFrame, key: str) -> DataFrame:
         rows = cut(marked.where("not again").select("kind", "entity", "attempt", "surrogate").unionByName(anew))
 
 
-def replace_entities(docs: DataFrame, key: str = "veranda") -> DataFrame:
-    """docs with surrogates in text, and two more columns: n_entities (found in the text) and kinds (their kinds, in order)."""
+def replace_entities(docs: DataFrame, key: str, report: bool = True) -> DataFrame:
+    """docs with surrogates in text; with a report also n_entities (replaced in the text) and kinds (theirs, in order). The key is the secret that
+    makes surrogates what they are: the same key gives the same ones, and without it they can't be traced back by trying."""
     found = F.regexp_extract_all(F.col("text"), F.lit(PATTERN), F.lit(0))
     hashed = F.struct(F.xxhash64("text").alias("a"), F.xxhash64("text", F.lit(1)).alias("b"), F.length("text").alias("n"))
     # what hints at an entity at all; most texts need no search
     hint = F.regexp_like("text", F.lit(r"[@+(]|AKIA|ASIA|gh[pousr]_|sk-|[0-9][^\p{L}]{0,3}[0-9]|[=:]|\b(?:" + "|".join([*MALE, *FEMALE, "Dr", "Prof"]) + r")\b"))
-    plan = cut(docs.where(hint).select(hashed.alias("text_key"), found.alias("found")).where(F.size("found") > 0).select("text_key", F.explode(F.array_distinct("found")).alias("entity")).distinct().withColumn("kind", kind_of(F.col("entity"))))
+    entities = docs.where(hint).select(hashed.alias("text_key"), F.explode(F.array_distinct(found)).alias("entity")).distinct().withColumn("kind", kind_of(F.col("entity")))
+    plan = cut(entities.where((F.col("kind") != "card") | (_luhn(F.regexp_replace("entity", "[^0-9]", "")) == 0)))
     fakes = table(plan.select("kind", "entity").distinct(), key)
-    maps = cut(plan.join(fakes, ["kind", "entity"]).groupBy("text_key").agg(F.map_from_entries(F.collect_list(F.struct("entity", F.struct("surrogate", "kind")))).alias("fake")))
-    keyed = docs.withColumn("__key", hashed).withColumn("__id", F.col("__key.a"))
-    few = F.broadcast(maps.select(F.pmod(F.xxhash64(F.col("text_key.a")), F.lit(1 << 20)).alias("__b")).distinct())  # 2**20 values at most
-    in_bucket = keyed.withColumn("__b", F.pmod(F.xxhash64("__id"), F.lit(1 << 20)))
-    none = (F.lit(0).alias("n_entities"), F.array().cast("array<string>").alias("kinds"))
-    clear = in_bucket.join(few, "__b", "left_anti").select(*docs.columns, *none)
-    near = in_bucket.join(few, "__b", "left_semi").drop("__b", "__id").join(maps, F.col("__key") == F.col("text_key"), "left")
-    parts = F.split("text", PATTERN, -1)
-    rebuilt = F.array_join(F.transform(F.arrays_zip(parts.alias("p"), found.alias("f")), lambda x: F.concat(F.coalesce(x["p"], F.lit("")), F.coalesce(F.element_at("fake", x["f"])["surrogate"], F.lit("")))), "")
-    has = F.col("fake").isNotNull()
-    columns = [F.when(has, rebuilt).otherwise(F.col("text")).alias("text") if c == "text" else F.col(c) for c in docs.columns]
-    return clear.unionByName(near.select(*columns, F.when(has, F.size(found)).otherwise(0).alias("n_entities"), F.when(has, F.transform(found, lambda e: F.element_at("fake", e)["kind"])).otherwise(F.array().cast("array<string>")).alias("kinds")))
+    maps = cut(plan.join(fakes, ["kind", "entity"]).groupBy("text_key").agg(F.map_from_entries(F.collect_list(F.struct("entity", F.struct("surrogate", "kind")))).alias("fakes")))
+    names = [c for c in docs.columns if not (report and c in ("n_entities", "kinds"))]
+    some = F.coalesce(hint & F.regexp_like("text", F.lit(PATTERN)), F.lit(False))
+    none = (F.lit(0).alias("n_entities"), F.array().cast("array<string>").alias("kinds")) if report else ()
+    clear = docs.where(~some).select(*names, *none)
+    # the rows as one column, so that no name of theirs can clash
+    near = docs.where(some).select(F.struct(*names).alias("row"), hashed.alias("key")).join(maps, F.col("key") == F.col("text_key"), "left")
+    text = F.col("row")["text"]
+    pieces = F.arrays_zip(F.split(text, PATTERN, -1).alias("p"), F.regexp_extract_all(text, F.lit(PATTERN), F.lit(0)).alias("f"))
+    # each piece, the entity behind it, and what takes its place (null for none)
+    near = near.select("row", F.transform(pieces, lambda x: F.struct(x["p"].alias("p"), x["f"].alias("f"), F.element_at("fakes", x["f"]).alias("new"))).alias("parts"))
+    rebuilt = F.array_join(F.transform("parts", lambda x: F.concat(F.coalesce(x["p"], F.lit("")), F.coalesce(x["new"]["surrogate"], x["f"], F.lit("")))), "")
+    kinds = F.transform(F.filter("parts", lambda x: x["new"].isNotNull()), lambda x: x["new"]["kind"])
+    columns = [rebuilt.alias("text") if c == "text" else F.col("row")[c].alias(c) for c in names]
+    return clear.unionByName(near.select(*columns, *((F.size(kinds).alias("n_entities"), kinds.alias("kinds")) if report else ())))

@@ -15,6 +15,11 @@ from .common import checkpoint_dir, table
 RULES = [("com", "en/", "block"), ("example.com", "en/7", "allow"), ("net", "de/", "block"), ("example.net", "de/8", "allow"), ("org", "es/", "block")]
 
 
+def pii_key(spark: SparkSession) -> str:
+    """The key of surrogates that the session names; the synthetic tables hold no secrets, so they get a public one."""
+    return spark.conf.get("spark.veranda.pii.key", "synthetic tables")
+
+
 def tokenizer(name: str) -> str:
     import public_tokenizers
 
@@ -72,7 +77,7 @@ def op9_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op10_pii_surrogates(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return pii.replace_entities(table(spark, sf_dir, "documents")).select("doc_id", "text", "n_entities", F.array_join("kinds", ",").alias("kinds"))
+    return pii.replace_entities(table(spark, sf_dir, "documents").select("doc_id", "text"), pii_key(spark)).select("doc_id", "text", "n_entities", F.array_join("kinds", ",").alias("kinds"))
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
