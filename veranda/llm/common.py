@@ -3,9 +3,11 @@
 from __future__ import annotations
 
 import ctypes
+import re
 import tempfile
 from collections.abc import Callable, Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -14,10 +16,12 @@ from .tokens import encoder
 
 
 def checkpoint_dir(spark: SparkSession) -> str:
-    """The shared folder that the session names. Where none is named (tests, a laptop) a temporary one is set."""
+    """The shared folder that the session names. Where none is named and there is no other machine (tests, a laptop) a temporary one is set."""
     named = spark.conf.get("spark.checkpoint.dir", None)
     sc = spark.sparkContext
     if sc._jsc.sc().getCheckpointDir().isEmpty():
+        if not named and not re.fullmatch(r"local(\[.*\])?", sc.master):
+            raise ValueError("name a folder that driver and executors share in spark.checkpoint.dir")
         sc.setCheckpointDir(named or tempfile.mkdtemp(prefix="veranda-"))
     return sc._jsc.sc().getCheckpointDir().get()
 
@@ -57,8 +61,14 @@ def start_task(encodes: bool) -> None:
         encoder.cache_clear()
 
 
+ROWS = "spark.sql.execution.arrow.maxRecordsPerBatch"
+
+
 def map_arrow(df: DataFrame, fn: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: str, encodes: bool = False) -> DataFrame:
-    """mapInArrow whose workers give their memory back after each task."""
+    """mapInArrow whose workers give their memory back after each task. A row here is a whole document, so the session's batches are held to 1,000 rows
+    unless its configuration names another number: a batch is held several times over, by the JVM and by the worker."""
+    if not df.sparkSession.sparkContext.getConf().contains(ROWS):
+        df.sparkSession.conf.set(ROWS, "1000")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         start_task(encodes)
@@ -81,6 +91,34 @@ def map_batches(df: DataFrame, fn: Callable[[pa.RecordBatch], Iterator[pa.Record
     return map_arrow(df, run, schema)
 
 
+def map_groups(df: DataFrame, by: list[str], fn: Callable[[tuple, list[pa.Array]], Iterator[pa.RecordBatch]], schema: str) -> DataFrame:
+    """fn(key, other columns) of each group of rows with equal integers in the columns `by`, which come first; a group is whole in memory."""
+    k = len(by)
+
+    def told(held: list[pa.RecordBatch]) -> tuple[tuple, list[pa.Array]]:
+        table = pa.Table.from_batches(held).combine_chunks()
+        return tuple(table.column(i)[0].as_py() for i in range(k)), [c.combine_chunks() if isinstance(c, pa.ChunkedArray) else c for c in table.columns[k:]]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[pa.RecordBatch] = []
+        last = None
+        for b in batches:
+            if not b.num_rows:
+                continue
+            keys = np.stack([b.column(i).to_numpy() for i in range(k)], 1)
+            starts = np.concatenate(([0], np.flatnonzero((keys[1:] != keys[:-1]).any(1)) + 1, [len(keys)])).tolist()
+            for lo, hi in zip(starts, starts[1:]):
+                if held and tuple(keys[lo]) != last:
+                    yield from fn(*told(held))
+                    held = []
+                held.append(b.slice(lo, hi - lo))
+                last = tuple(keys[lo])
+        if held:
+            yield from fn(*told(held))
+
+    return map_arrow(df.repartition(*by).sortWithinPartitions(*by), run, schema)
+
+
 def ids_in_buckets(df: DataFrame, column: str, ids: DataFrame, bits: int = 20) -> DataFrame:
     """Rows of df whose id may be in ids: a semi-join with the set of hashed ids, which has 2**bits values at most
     whatever the size of ids, so that it can be broadcast. Some other rows pass too; an exact join has to follow."""

@@ -9,11 +9,12 @@ smallest hashes of the union is common to both sketches with probability J. So:
    least (the binomial tail below that is about 1e-8 for k = 64), so it is enough to list each document under its k - least + 1
    rarest values: a common line or passage makes no list unless it makes up most of a document;
 3. in each list the document with the most widely shared values is the hub, and the list's members form the hub's group.
-   Two similar documents share a list, hence a group. Pairs of a group of two are filtered by their union sketch;
-4. groups are dealt out in blocks of at most `block` documents together with the hub. A task intersects the full shingle sets
-   of its block by a product of incidence matrices and returns one link from each document to the smallest of its
-   component in the block, never pairs. Members of a group of several blocks that did not join the hub's component
-   are compared with all other blocks, again in blocks. So all pairs of a list are judged exactly, in bounded memory;
+   Two similar documents share a list, hence a group. Groups are dealt out in blocks of at most `block` documents together with the hub;
+4. in each block the sketches meet first: overlaps of retained values are counted, pairs under `least` are dropped, the others' similarity is
+   estimated by the union sketch, and only documents with a likely partner go on. Their full shingle sets are intersected exactly by a
+   product of incidence matrices, which gives one link from each document to the smallest of its component in the block, never pairs.
+   Members of a group of several blocks that did not join the hub's component then meet all other blocks in the same way.
+   So all pairs of a list are judged, the likely ones exactly, in bounded memory;
 5. connected components of the links by star contraction.
 
 Contract of odd rows: a null or wordless text has the empty set and is linked with nothing. Rows with the same doc_id are one
@@ -24,16 +25,15 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import as_bytes, cut, give_back, ids_in_buckets, map_batches, without
+from .common import as_bytes, cut, ids_in_buckets, map_batches, map_groups, without
 from .graph import components
 from .kernels import U64, batches, mix, shingle_sets
 
-K, LEAST, BLOCK = 64, 26, 256
+K, LEAST, BLOCK, SALTS = 64, 26, 256, 64
 
 
 def set_key(s: np.ndarray) -> tuple[int, int]:
@@ -66,12 +66,11 @@ def union_estimate(a, b, k: int = K):
     return F.size(F.array_intersect(low, F.array_intersect(key(a), key(b)))) / F.greatest(F.size(low), F.lit(1))
 
 
-def matched(sets: list[np.ndarray], percent: int) -> np.ndarray:
-    """Which pairs of sets have 100 * intersection >= percent * union; by products of incidence matrices, some columns at a time."""
+def common_counts(sets: list[np.ndarray]) -> np.ndarray:
+    """How many values each two sets share; by products of incidence matrices, some columns at a time."""
     n = len(sets)
-    size = np.array([len(s) for s in sets], np.int64)
     value = np.concatenate(sets) if n else np.zeros(0, U64)
-    own = np.repeat(np.arange(n), size)
+    own = np.repeat(np.arange(n), [len(s) for s in sets])
     _, column, count = np.unique(value, return_inverse=True, return_counts=True)
     often = count >= 2
     place = np.cumsum(often) - 1
@@ -83,13 +82,51 @@ def matched(sets: list[np.ndarray], percent: int) -> np.ndarray:
     width = max(64, (1 << 22) // max(n, 1))
     for at in range(0, int(often.sum()), width):
         lo, hi = np.searchsorted(column, (at, at + width))
-        part = np.zeros((n, width), np.float32)
+        part = np.zeros((n, min(width, int(often.sum()) - at)), np.float32)
         part[own[lo:hi], column[lo:hi] - at] = 1
         common += np.rint(part @ part.T).astype(np.int64)
+    return common
+
+
+def matched(sets: list[np.ndarray], percent: int) -> np.ndarray:
+    """Which pairs of sets have 100 * intersection >= percent * union."""
+    size = np.array([len(s) for s in sets], np.int64)
+    common = common_counts(sets)
     union = size[:, None] + size[None, :] - common
     return (100 * common >= percent * union) & (union > 0)
 
 
+def union_estimates(x: np.ndarray, y: np.ndarray, k: int = K) -> np.ndarray:
+    """union_estimate() of rows of two arrays of ascending sketches, filled up with the largest value."""
+    both = np.sort(np.concatenate((x, y), axis=1), axis=1)
+    twice = both[:, 1:] == both[:, :-1]
+    number = np.cumsum(np.concatenate((np.ones((len(both), 1), bool), ~twice), axis=1), axis=1)  # of each value among the union's
+    real = both != np.iinfo(U64).max
+    held = np.minimum((number * real).max(1, initial=0), k)
+    return (twice & real[:, 1:] & (number[:, 1:] <= k)).sum(1) / np.maximum(held, 1)
+
+
+def likely(sketches: list[np.ndarray], sizes: np.ndarray, asks: np.ndarray, percent: int, k: int, least: int, part: int = 1 << 12) -> np.ndarray:
+    """Which sets may have 100 * intersection >= percent * union with one of those that ask (or ask and may have one themselves)."""
+    n = len(sketches)
+    exact = -(-sizes * percent // 100)
+    need = np.where(sizes <= k * percent // 100, exact, np.minimum(least, np.minimum(sizes, k)))
+    able = (common_counts(sketches) >= np.maximum(need[:, None], need[None, :])) & ~np.eye(n, dtype=bool) & (need > 0)[:, None]
+    full = np.full((n, k), np.iinfo(U64).max, U64)
+    for row, s in zip(full, sketches, strict=True):
+        row[: len(s)] = s
+    floor = percent / 100 - 5 * (percent / 100 * (1 - percent / 100) / k) ** 0.5
+    out = np.zeros(n, bool)
+    for i in np.argsort(-able.sum(1), kind="stable"):  # whoever has been found likely with another need not be tried again, but by those that ask
+        j = np.flatnonzero(able[i] & (~out if out[i] else np.ones(n, bool))) if asks[i] else np.zeros(0, np.int64)
+        for at in range(0, len(j), part):
+            some = j[at : at + part]
+            ok = union_estimates(np.broadcast_to(full[i], (len(some), k)), full[some], k) >= floor
+            out[some[ok]] = True
+            out[i] |= bool(ok.any())
+    return out
+
+
 def _smallest(linked: np.ndarray, ids: np.ndarray) -> np.ndarray:
     """For each row of the link matrix the smallest id of its component."""
     label = ids.copy()
@@ -101,15 +138,24 @@ def _smallest(linked: np.ndarray, ids: np.ndarray) -> np.ndarray:
         label = new
 
 
-def _block_links(percent: int):
-    def run(block: pd.DataFrame) -> pd.DataFrame:
-        sets = [np.frombuffer(x, U64) for x in block["shingles"]]
-        ids = block["id"].to_numpy(np.int64)
-        low = _smallest(matched(sets, percent), ids)
-        give_back()
-        return pd.DataFrame({"a": ids, "b": low})[ids != low]
+def _verified(met: DataFrame, by: list[str], sketch: DataFrame, docs: DataFrame, words: int, percent: int, k: int, least: int) -> DataFrame:
+    """(a, b): links of met(*by, id, ask): each block's members to the smallest one of their component in it, as far as they are linked
+    with members that ask. sketch(id, n, sketch) has a row or more for each id."""
+
+    def some(keys: tuple, columns: list[pa.Array]) -> Iterator[pa.RecordBatch]:
+        ids, asks, sizes = (c.to_numpy(zero_copy_only=False) for c in columns[:3])
+        ok = likely([x.values.to_numpy().view(U64) for x in columns[3]], sizes, asks, percent, k, least)
+        many = np.unique(ids[ok])
+        yield pa.RecordBatch.from_arrays([pa.array([v] * len(many), pa.int64()) for v in keys] + [pa.array(many)], [*by, "id"])
+
+    def links(keys: tuple, columns: list[pa.Array]) -> Iterator[pa.RecordBatch]:
+        ids = columns[0].to_numpy()
+        low = _smallest(matched([np.frombuffer(x, U64) for x in columns[1].to_pylist()], percent), ids)
+        yield pa.RecordBatch.from_arrays([pa.array(ids[ids != low]), pa.array(low[ids != low])], ["a", "b"])
 
-    return run
+    keys = ", ".join(f"{c} long" for c in by)
+    near = cut(map_groups(met.join(ids_in_buckets(sketch, "id", met.select("id")), "id").select(*[F.col(c).cast("long") for c in by], "id", "ask", "n", "sketch"), by, some, f"{keys}, id long"))
+    return cut(map_groups(near.join(_sets(docs, near.select("id").distinct(), words), "id").select(*by, "id", "shingles"), by, links, "a long, b long"))
 
 
 def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 75, k: int = K, least: int = LEAST, block: int = BLOCK) -> DataFrame:
@@ -138,37 +184,37 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 75, k: int =
     hubs = lists.groupBy("v").agg(F.max(F.struct("weight", (-F.col("rep")).alias("minus"))).alias("top"), F.count("*").alias("m")).where("m > 1").select("v", (-F.col("top.minus")).alias("hub"), "m")
     groups = lists.join(hubs, "v").where("rep <> hub").groupBy("hub", "rep").agg(F.max("m").alias("m"))
 
-    # groups of two: the union sketch decides whether the sets are worth comparing; each sketch is moved once, and few others are
+    # groups of two: the union sketch decides in the same plan; each sketch is moved once
     groups = cut(groups)
+    sketch = reps.select(F.col("rep").alias("id"), "n", "sketch")
     ends = groups.where("m = 2").select("hub", "rep", F.explode(F.array("hub", "rep")).alias("id"))
-    slim = ids_in_buckets(reps.select(F.col("rep").alias("id"), "sketch"), "id", ends.select("id"))
-    pair = ends.join(slim, "id").groupBy("hub", "rep").agg(F.min_by("sketch", "id").alias("x"), F.max_by("sketch", "id").alias("y"), F.count("*").alias("sets"))
+    pair = ends.join(ids_in_buckets(sketch, "id", ends.select("id")), "id").groupBy("hub", "rep").agg(F.min_by("sketch", "id").alias("x"), F.max_by("sketch", "id").alias("y"), F.count("*").alias("sets"))
     # an id with several sets (repeated doc_id) goes to the exact comparison as it is
-    likely = pair.where((F.col("sets") > 2) | (union_estimate(F.col("x"), F.col("y"), k) >= percent / 100 - 5 * (0.25 * 0.75 / k) ** 0.5)).select("hub", "rep")
-    members = cut(groups.where("m > 2").select("hub", "rep").unionByName(likely).distinct())
-    sizes = members.groupBy("hub").agg(F.ceil(F.count("*") / block).cast("int").alias("blocks"))
-    placed = members.join(sizes, "hub").select("hub", F.col("rep").alias("id"), F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int").alias("block")).unionByName(
-        sizes.select("hub", F.col("hub").alias("id"), F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block")))
-    placed = cut(placed)
-
-    sets = _sets(docs, placed.select("id").distinct(), words)
-    schema = "a long, b long"
-    links = cut(placed.join(sets, "id").groupBy("hub", "block").applyInPandas(_block_links(percent), schema))
+    two = pair.where((F.col("sets") > 2) | (union_estimate(F.col("x"), F.col("y"), k) >= percent / 100 - 5 * (percent / 100 * (1 - percent / 100) / k) ** 0.5)).select("hub", "rep")
+    members = cut(groups.where("m > 2").select("hub", "rep").unionByName(two).distinct())
+    sizes = cut(members.groupBy("hub").agg(F.ceil(F.count("*") / block).cast("long").alias("blocks")))
+    # only hubs of several blocks have to tell their members so, and a hub of very many members tells them in SALTS places
+    salted = sizes.where("blocks > 1").withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    dealt = members.withColumn("salt", F.pmod(F.xxhash64("rep"), F.lit(SALTS)).cast("int")).join(salted, ["hub", "salt"], "left")
+    dealt = dealt.select("hub", F.coalesce(F.pmod(F.xxhash64("rep", F.lit(11)), F.col("blocks")), F.lit(0)).alias("block"), F.col("rep").alias("id"))
+    heads = sizes.select("hub", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)).alias("block"), "blocks")
+    placed = cut(dealt.unionByName(heads.select("hub", "block", F.col("hub").alias("id"))))
+    links = _verified(placed.withColumn("ask", F.lit(True)), ["hub", "block"], sketch, docs, words, percent, k, least)
     label = components(links)
 
     # groups of several blocks: what is not yet with the hub meets all other blocks
-    wide = sizes.where("blocks > 1")
+    wide = cut(heads.where("blocks > 1"))
     if not wide.isEmpty():
-        named = placed.join(wide, "hub").join(label, "id", "left").withColumn("component", F.coalesce("component", "id"))
-        hub = named.where("id = hub").select("hub", F.col("component").alias("with")).distinct()
-        named = cut(named.where("id <> hub").join(hub, "hub"))
-        alone = named.where("component <> with")
-        parts = alone.groupBy("hub").agg(F.ceil(F.count("*") / block).cast("int").alias("parts"))
-        asks = alone.join(parts, "hub").select("hub", "id", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"), F.pmod(F.xxhash64("id", F.lit(7)), F.col("parts")).cast("int").alias("part"))
-        told = named.join(parts, "hub").select("hub", "id", "block", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"))
-        met = cut(asks.unionByName(told).distinct())
-        meet = met.join(_sets(docs, met.select("id").distinct(), words), "id").groupBy("hub", "block", "part").applyInPandas(_block_links(percent), schema)
-        label = components(links.unionByName(meet))
+        label = cut(label)
+        own = wide.join(label.select(F.col("id").alias("hub"), F.col("component").alias("with")), "hub", "left").withColumn("with", F.coalesce("with", "hub"))
+        named = placed.where("id <> hub").join(own, ["hub", "block"]).join(label, "id", "left")
+        named = cut(named.select("hub", "block", "blocks", "id", (F.coalesce("component", "id") != F.col("with")).alias("alone")))
+        alone = named.where("alone")
+        parts = wide.join(alone.groupBy("hub").agg(F.ceil(F.count("*") / block).cast("long").alias("parts")), "hub").select("hub", "block", "parts")
+        asks = alone.join(parts, ["hub", "block"]).select("hub", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)).alias("block"), F.pmod(F.xxhash64("id", F.lit(7)), F.col("parts")).alias("part"), "id", F.lit(True).alias("ask"))
+        told = named.join(parts, ["hub", "block"]).select("hub", "block", F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)).alias("part"), "id", F.lit(False).alias("ask"))
+        met = cut(asks.unionByName(told).groupBy("hub", "block", "part", "id").agg(F.max("ask").alias("ask")))
+        label = components(links.unionByName(_verified(met, ["hub", "block", "part"], sketch, docs, words, percent, k, least)))
 
     same = found.select("doc_id", "n_shingles", "k1", "k2").join(copies, ["k1", "k2"], "left")
     node = F.when(F.col("n_shingles") > 0, F.coalesce("rep", "doc_id")).otherwise(F.col("doc_id"))

@@ -18,7 +18,7 @@ from .kernels import BYTE_POWERS, U64, byte_sums, ragged, range_hashes, word_edg
 #: White space that the pre-tokenizers know beyond ASCII.
 _WIDE_SPACE = re.compile("[\\x85\\xa0\\u1680\\u2000-\\u200a\\u2028\\u2029\\u202f\\u205f\\u3000]")
 #: Most chunks in a worker's memo; what comes later is encoded for its batch only. A chunk takes about 40 bytes.
-MEMO = 1 << 21
+MEMO = 1 << 20
 
 
 class _Memo:
@@ -69,8 +69,7 @@ class Encoder:
 
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = special_as_text
-        with open(path) as f:
-            pre = json.load(f)["pre_tokenizer"]
+        pre = json.loads(self.tokenizer.pre_tokenizer.__getstate__())
         self.byte_level = pre["type"] == "ByteLevel" and pre.get("use_regex", True)
         if self.tokenizer.get_vocab_size() > 1 << 16:
             raise ValueError("ids of over 16 bits are not supported")
