@@ -140,7 +140,7 @@ def _smallest(linked: np.ndarray, ids: np.ndarray) -> np.ndarray:
 
 def _verified(met: DataFrame, by: list[str], sketch: DataFrame, docs: DataFrame, words: int, percent: int, k: int, least: int) -> DataFrame:
     """(a, b): links of met(*by, id, ask): each block's members to the smallest one of their component in it, as far as they are linked
-    with members that ask. sketch(id, n, sketch) has a row or more for each id."""
+    with members that ask. sketch(id, n, sketch) has a row or more for each id. Full sets are made from the texts where a block meets, as they are larger."""
 
     def some(keys: tuple, columns: list[pa.Array]) -> Iterator[pa.RecordBatch]:
         ids, asks, sizes = (c.to_numpy(zero_copy_only=False) for c in columns[:3])
@@ -150,12 +150,28 @@ def _verified(met: DataFrame, by: list[str], sketch: DataFrame, docs: DataFrame,
 
     def links(keys: tuple, columns: list[pa.Array]) -> Iterator[pa.RecordBatch]:
         ids = columns[0].to_numpy()
-        low = _smallest(matched([np.frombuffer(x, U64) for x in columns[1].to_pylist()], percent), ids)
+        low = _smallest(matched(shingle_sets(as_bytes(columns[1]), words), percent), ids)
         yield pa.RecordBatch.from_arrays([pa.array(ids[ids != low]), pa.array(low[ids != low])], ["a", "b"])
 
     keys = ", ".join(f"{c} long" for c in by)
     near = cut(map_groups(met.join(ids_in_buckets(sketch, "id", met.select("id")), "id").select(*[F.col(c).cast("long") for c in by], "id", "ask", "n", "sketch"), by, some, f"{keys}, id long"))
-    return cut(map_groups(near.join(_sets(docs, near.select("id").distinct(), words), "id").select(*by, "id", "shingles"), by, links, "a long, b long"))
+    texts = ids_in_buckets(docs.select(F.col("doc_id").cast("long").alias("id"), F.col("text").cast("string").alias("text")), "id", near.select("id"))
+    return cut(map_groups(near.join(texts, "id").select(*by, "id", "text"), by, links, "a long, b long"))
+
+
+def _groups(reps: DataFrame, percent: int, k: int, least: int) -> DataFrame:
+    """(hub, rep, m) of reps(rep, k1, n, sketch): who is in which hub's group, and the size of the largest of their lists."""
+    # inverted lists of the rarest retained values; a set goes by 64 bits of its key
+    values = reps.select("k1", F.explode("sketch").alias("v"))
+    often = values.groupBy("v").agg(F.count("*").alias("c")).where("c > 1")
+    shared = values.join(often, "v").groupBy("k1").agg(F.sort_array(F.collect_list(F.struct("c", "v"))).alias("vs"), F.sum(F.log("c")).alias("weight")).join(reps.select("k1", "rep", "n"), "k1")
+    have = F.least(F.col("n"), F.lit(k))
+    exact = F.ceil(F.col("n") * percent / 100)  # such a set and all that are similar to it are whole in their sketches
+    need = F.when(F.col("n") <= k * percent // 100, exact).otherwise(F.least(F.lit(least), have))
+    left = have - need + 1 - (have - F.size("vs"))
+    lists = cut(shared.where(left > 0).select("rep", "weight", F.explode(F.slice("vs", 1, F.greatest(left, F.lit(1)).cast("int"))).alias("x")).select("rep", F.round("weight", 6).alias("weight"), F.col("x.v").alias("v")))
+    hubs = lists.groupBy("v").agg(F.max(F.struct("weight", (-F.col("rep")).alias("minus"))).alias("top"), F.count("*").alias("m")).where("m > 1").select("v", (-F.col("top.minus")).alias("hub"), "m")
+    return cut(lists.join(hubs, "v").where("rep <> hub").groupBy("hub", "rep").agg(F.max("m").alias("m")))
 
 
 def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 75, k: int = K, least: int = LEAST, block: int = BLOCK) -> DataFrame:
@@ -172,20 +188,8 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 75, k: int =
     some = keyed.join(few, "b", "left_semi").join(copies, ["k1", "k2"], "left").where("rep is null or rep = doc_id").withColumn("rep", F.coalesce("rep", "doc_id")).dropDuplicates(["k1", "k2"]).select(*columns)
     reps = once.unionByName(some)
 
-    # inverted lists of the rarest retained values; a set goes by 64 bits of its key
-    values = reps.select("k1", F.explode("sketch").alias("v"))
-    often = values.groupBy("v").agg(F.count("*").alias("c")).where("c > 1")
-    shared = values.join(often, "v").groupBy("k1").agg(F.sort_array(F.collect_list(F.struct("c", "v"))).alias("vs"), F.sum(F.log("c")).alias("weight")).join(reps.select("k1", "rep", "n"), "k1")
-    have = F.least(F.col("n"), F.lit(k))
-    exact = F.ceil(F.col("n") * percent / 100)  # such a set and all that are similar to it are whole in their sketches
-    need = F.when(F.col("n") <= k * percent // 100, exact).otherwise(F.least(F.lit(least), have))
-    left = have - need + 1 - (have - F.size("vs"))
-    lists = cut(shared.where(left > 0).select("rep", "weight", F.explode(F.slice("vs", 1, F.greatest(left, F.lit(1)).cast("int"))).alias("x")).select("rep", F.round("weight", 6).alias("weight"), F.col("x.v").alias("v")))
-    hubs = lists.groupBy("v").agg(F.max(F.struct("weight", (-F.col("rep")).alias("minus"))).alias("top"), F.count("*").alias("m")).where("m > 1").select("v", (-F.col("top.minus")).alias("hub"), "m")
-    groups = lists.join(hubs, "v").where("rep <> hub").groupBy("hub", "rep").agg(F.max("m").alias("m"))
-
+    groups = _groups(reps, percent, k, least)
     # groups of two: the union sketch decides in the same plan; each sketch is moved once
-    groups = cut(groups)
     sketch = reps.select(F.col("rep").alias("id"), "n", "sketch")
     ends = groups.where("m = 2").select("hub", "rep", F.explode(F.array("hub", "rep")).alias("id"))
     pair = ends.join(ids_in_buckets(sketch, "id", ends.select("id")), "id").groupBy("hub", "rep").agg(F.min_by("sketch", "id").alias("x"), F.max_by("sketch", "id").alias("y"), F.count("*").alias("sets"))
@@ -223,19 +227,6 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 75, k: int =
     return by_set.select("doc_id", "n_shingles", F.when(F.col("doc_id").isNotNull(), F.coalesce("component", "rep", "doc_id")).alias("component_id")).withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))
 
 
-def _sets(docs: DataFrame, ids: DataFrame, words: int) -> DataFrame:
-    """(id, shingles) of the named documents, the set as raw 64-bit hashes; made anew from the texts, as all sets together
-    are larger than the texts."""
-
-    def run(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
-        texts = as_bytes(batch.column(1))
-        for a, b in batches(texts):
-            yield pa.RecordBatch.from_arrays([batch.column(0)[a:b], pa.array([s.tobytes() for s in shingle_sets(texts[a:b], words)], pa.binary())], ["id", "shingles"])
-
-    near = ids_in_buckets(docs.select(F.col("doc_id").cast("long").alias("id"), F.col("text").cast("string").alias("text")), "id", ids)
-    return map_batches(near, run, "id long, shingles binary").where("length(shingles) > 0")
-
-
 def near_dedup(docs: DataFrame, **options) -> DataFrame:
     """The rows of docs, all columns as they are, without those that have a near duplicate of smaller doc_id in their group."""
     gone = near_duplicates(docs, **options).where("not kept").select("doc_id").distinct()
