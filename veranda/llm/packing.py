@@ -27,6 +27,8 @@ from .kernels import batches
 from .tokens import encoder
 
 CAPACITY, BLOCK, ATTENTION = 1024, 1 << 13, 1.0
+#: Bytes of text that are encoded together.
+ENCODED = 1 << 19
 
 
 def powers_of_two(n: int) -> list[int]:
@@ -123,7 +125,7 @@ def pack(docs: DataFrame, tokenizer: str, end_id: int = 0, capacity: int = CAPAC
 
         for batch in source:
             doc_ids, texts = batch.column(0).to_pylist(), as_bytes(batch.column(1))
-            for a, b in batches(texts):
+            for a, b in batches(texts, ENCODED):
                 ids, at = enc.encode(texts[a:b])
                 for i in range(a, b):
                     own = np.append(ids[at[i - a] : at[i - a + 1]], np.uint16(end_id))

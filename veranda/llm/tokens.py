@@ -8,6 +8,7 @@ differ (white space beyond ASCII next to byte-level pieces) are encoded whole. T
 from __future__ import annotations
 
 import json
+import os
 import re
 from functools import lru_cache
 
@@ -18,7 +19,7 @@ from .kernels import BYTE_POWERS, U64, byte_sums, ragged, range_hashes, word_edg
 #: White space that the pre-tokenizers know beyond ASCII.
 _WIDE_SPACE = re.compile("[\\x85\\xa0\\u1680\\u2000-\\u200a\\u2028\\u2029\\u202f\\u205f\\u3000]")
 #: Most chunks in a worker's memo; what comes later is encoded for its batch only. A chunk takes about 40 bytes.
-MEMO = 1 << 20
+MEMO = 1 << 19
 
 
 class _Memo:
@@ -65,6 +66,7 @@ class _Memo:
 
 class Encoder:
     def __init__(self, path: str, special_as_text: bool = True):
+        os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")  # a task has one core, and each thread would keep memory of its own
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
@@ -77,8 +79,15 @@ class Encoder:
         if self.byte_level:
             (self.line_feed,) = self._encode(["\n"])[0]
 
-    def _encode(self, texts: list[str]) -> list[list[int]]:
-        return [e.ids for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+    def _encode(self, texts: list[str], part: int = 1 << 14) -> list[list[int]]:
+        """Ids of each text, so many characters at a time: an encoding holds some hundred bytes for each id until it is dropped."""
+        out, lo, size = [], 0, 0
+        for hi, t in enumerate(texts, 1):
+            size += len(t)
+            if size >= part or hi == len(texts):
+                out += [e.ids for e in self.tokenizer.encode_batch_fast(texts[lo:hi], add_special_tokens=False)]
+                lo, size = hi, 0
+        return out
 
     def _chunks(self, texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
         """(starts, ends, chunks before each text and the total, buffer)."""
