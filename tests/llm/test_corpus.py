@@ -174,15 +174,40 @@ def test_assign_covers_without_padding(seed):
     assert all(n <= 1024 and n & (n - 1) == 0 for n in sizes.values())
 
 
+def whole_documents(pieces):
+    """Counter of (doc_id, ids) put together from pieces. Rows may share a doc_id: a piece goes on with one that ends where it starts and has equal totals."""
+    by, out = {}, Counter()
+    for p in sorted(pieces, key=lambda p: p.start):
+        open_ = by.setdefault((p.doc_id, p.doc_tokens), {}).setdefault(p.start, [])
+        ids = (open_.pop() if p.start else b"") + p.ids
+        end = p.start + p.length
+        assert len(p.ids) == 4 * p.length and len(ids) == 4 * end
+        if end == p.doc_tokens:
+            out[p.doc_id, ids] += 1
+        else:
+            by[p.doc_id, p.doc_tokens].setdefault(end, []).append(ids)
+    assert not any(rest for own in by.values() for rest in own.values())
+    return out
+
+
+def test_equal_keys_do_not_hang():
+    ids, none = np.array([0, 0, -(1 << 63) + 1, 5]), np.array([True, False, False, False])
+    keys, salt = token_files.different_keys(ids, np.zeros(4, np.int64), none)
+    shard = token_files.Shard(np.arange(8, dtype="<u2").tobytes(), token_files.build_index(keys, np.array([0, 2, 4, 6]), salt), 2)
+    assert [shard.get(i).tolist() for i in (0, -(1 << 63) + 1, 5)] == [[2, 3], [4, 5], [6, 7]] and shard.get(77) is None
+    assert [x.tolist() for x in shard.find(np.array([0]), null=np.array([True]))] == [[0], [2]]
+    with pytest.raises(ValueError):
+        token_files.build_index(np.zeros(2, np.uint64), np.zeros(2, np.int64))
+    with pytest.raises(ValueError):
+        token_files.different_keys(np.zeros(2, np.int64), np.zeros(2, np.int64), np.zeros(2, bool))
+
+
 def test_packing_and_token_files_round_trip(spark, docs, odd, empty, tmp_path):
     for k, table in enumerate((docs, odd)):
         enc = tokens.Encoder(queries.tokenizer("byte_bpe_50k.json"))
         want = Counter((r.doc_id, np.array([*enc._encode([r.text or ""])[0], 0], "<u4").tobytes()) for r in table.collect())
-        pieces = sorted(packing.pack(table.where("doc_id is not null").dropDuplicates(["doc_id"]), queries.tokenizer("byte_bpe_50k.json")).collect(), key=lambda r: (r.doc_id, r.start))
-        whole = {}
-        for p in pieces:
-            whole[p.doc_id] = whole.get(p.doc_id, b"") + p.ids
-        assert all((d, x) in want for d, x in whole.items())
+        pieces = packing.pack(table, queries.tokenizer("byte_bpe_50k.json")).collect()
+        assert whole_documents(pieces) == want
         path = str(tmp_path / f"t{k}")
         token_files.write(table, path, queries.tokenizer("word_bpe_49k.json"), 2)
         enc = tokens.Encoder(queries.tokenizer("word_bpe_49k.json"))

@@ -6,15 +6,15 @@ store will do and a lost executor's task is simply run again):
     part, shard   the partition and the shard's number in it; ascending in both is ascending in doc_id
     before, n_ids ids of the partition before the shard, ids in it
     payload       the ids one after another, raw little-endian unsigned 16-bit or 32-bit integers (width)
-    index         magic, number of keys and of buckets, then uint32 seeds by bucket, uint64 fingerprints and uint64 offsets by slot
+    index         magic, number of keys and of buckets, salt, then uint32 seeds by bucket, uint64 fingerprints and uint64 offsets by slot
 
 A document is found in constant time: its key's hash picks a bucket, the bucket's seed and the hash pick the slot, the slot's
 fingerprint tells whether the key is there at all (a stranger passes with probability 2**-64), and the slot's offset and the next in payload
 order bound its ids. The hash is minimal: n keys take n slots. It is built bucket by bucket, largest first, trying seeds until
-the bucket's keys fall into free slots.
+the bucket's keys fall into free slots. Should two keys of a shard be equal, it takes another salt.
 
-Odd rows: a null or empty text is its end id alone; rows that share a doc_id have keys (doc_id, 0), (doc_id, 1), ... by text in one
-shard, and are kept together; null ids come first and have keys of their own; other columns are passed over."""
+Odd rows: a null or empty text is its end id alone; rows that share a doc_id, or have none, are numbered in a shard by a hash of their text and
+have keys by id and number; however many they are, they may go to several partitions; null ids come first; other columns are passed over."""
 
 from __future__ import annotations
 
@@ -32,14 +32,23 @@ from .common import as_bytes, map_arrow
 from .kernels import U64, batches, mix
 from .tokens import encoder
 
-MAGIC, HEADER = b"VTOK", struct.Struct("<4sII")
-NULL_ID = -(1 << 63) + 1
+MAGIC, HEADER = b"VTO2", struct.Struct("<4sIIQ")
 
 
-def keys_of(ids: np.ndarray, copies: np.ndarray) -> np.ndarray:
-    """The 64-bit key of each (doc_id, copy); a bijection of the id for the first copies, so these never collide."""
+def keys_of(ids: np.ndarray, copies: np.ndarray, null: np.ndarray, salt: int) -> np.ndarray:
+    """The 64-bit key of each (doc_id, copy, whether the id is null); a bijection of the id for each copy."""
     with np.errstate(over="ignore"):
-        return mix(ids.astype(np.int64).view(U64) ^ mix(copies.astype(U64) * U64(0x9E3779B97F4A7C15)))
+        other = mix((copies.astype(U64) << U64(1) | null.astype(U64)) * U64(0x9E3779B97F4A7C15) + U64(salt))
+        return mix(np.where(null, 0, ids).astype(np.int64).view(U64) ^ other)
+
+
+def different_keys(ids: np.ndarray, copies: np.ndarray, null: np.ndarray, tries: int = 64) -> tuple[np.ndarray, int]:
+    """Keys of different (doc_id, copy, null) that are different, and their salt."""
+    for salt in range(tries):
+        keys = keys_of(ids, copies, null, salt)
+        if len(np.unique(keys)) == len(keys):
+            return keys, salt
+    raise ValueError("equal documents in a shard's index")
 
 
 def _slot(keys: np.ndarray, seeds: np.ndarray, n: int) -> np.ndarray:
@@ -47,9 +56,11 @@ def _slot(keys: np.ndarray, seeds: np.ndarray, n: int) -> np.ndarray:
         return (mix(keys ^ mix(seeds.astype(U64) + U64(0x632BE59BD9B4E019))) % U64(n)).astype(np.int64)
 
 
-def build_index(keys: np.ndarray, offsets: np.ndarray) -> bytes:
+def build_index(keys: np.ndarray, offsets: np.ndarray, salt: int = 0) -> bytes:
     """keys: different 64-bit keys; offsets: where each one's ids begin."""
     n = len(keys)
+    if len(np.unique(keys)) < n:
+        raise ValueError("equal keys have no perfect hash")
     m = max(1, (n + 3) // 4)
     bucket = (mix(keys) % U64(m)).astype(np.int64)
     order = np.argsort(bucket, kind="stable")
@@ -77,14 +88,14 @@ def build_index(keys: np.ndarray, offsets: np.ndarray) -> bytes:
             base += len(tries)
     prints, where = np.zeros(n, "<u8"), np.zeros(n, "<u8")
     prints[slots], where[slots] = mix(keys + U64(1)), offsets
-    return HEADER.pack(MAGIC, n, m) + seeds.astype("<u4").tobytes() + prints.tobytes() + where.tobytes()
+    return HEADER.pack(MAGIC, n, m, salt) + seeds.astype("<u4").tobytes() + prints.tobytes() + where.tobytes()
 
 
 class Shard:
     """Keyed access to the ids of one shard."""
 
     def __init__(self, payload: bytes, index: bytes, width: int):
-        magic, self.n, m = HEADER.unpack_from(index)
+        magic, self.n, m, self.salt = HEADER.unpack_from(index)
         if magic != MAGIC:
             raise ValueError("not a token shard")
         self.ids = np.frombuffer(payload, f"<u{width}")
@@ -93,9 +104,10 @@ class Shard:
         self.offsets = np.frombuffer(index, "<u8", self.n, HEADER.size + 4 * m + 8 * self.n).astype(np.int64)
         self.ends = np.append(np.sort(self.offsets), len(self.ids))
 
-    def find(self, doc_ids: np.ndarray, copies: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+    def find(self, doc_ids: np.ndarray, copies: np.ndarray | None = None, null: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
         """(from, to) of each document's ids in the shard; -1, -1 if it isn't there."""
-        keys = keys_of(doc_ids, np.zeros(len(doc_ids), np.int64) if copies is None else copies)
+        zeros = np.zeros(len(doc_ids), np.int64)
+        keys = keys_of(doc_ids, zeros if copies is None else copies, zeros.astype(bool) if null is None else null, self.salt)
         slot = _slot(keys, self.seeds[(mix(keys) % U64(len(self.seeds))).astype(np.int64)], self.n)
         start = self.offsets[slot]
         there = self.prints[slot] == mix(keys + U64(1))
@@ -125,18 +137,22 @@ def write(docs: DataFrame, path: str, tokenizer: str, end_id: int) -> None:
                 out = np.full(len(ids) + n, end_id, np.uint16)
                 begin = at[:-1] + np.arange(n)
                 out[np.delete(np.arange(len(out)), at[1:] + np.arange(n))] = ids
-                own = np.array([NULL_ID if x is None else x for x in doc_ids[a:b]], np.int64)
+                null = np.array([x is None for x in doc_ids[a:b]], bool)
+                own = np.array([0 if x is None else x for x in doc_ids[a:b]], np.int64)
                 copies = np.zeros(n, np.int64)
                 for i, x in enumerate(doc_ids[a:b]):  # repeated ids are neighbours
                     copy = copy + 1 if (shard or i) and x == last else 0
                     copies[i], last = copy, x
-                row = (part, shard, before, len(out), 2, int(own[0]), int(own[-1]), np.stack((own, copies), 1).astype("<i8").tobytes(), out.astype("<u2").tobytes(), build_index(keys_of(own, copies), begin))
+                keys, salt = different_keys(own, copies, null)
+                known = own[~null]
+                row = (part, shard, before, len(out), 2, int(known[0]) if len(known) else None, int(known[-1]) if len(known) else None, np.stack((own, copies, null), 1).astype("<i8").tobytes(), out.astype("<u2").tobytes(), build_index(keys, begin, salt))
                 yield pa.RecordBatch.from_arrays([pa.array([x], k) for x, k in zip(row, kinds, strict=True)], names)
                 before += len(out)
                 shard += 1
 
-    texts = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
-    map_arrow(texts.repartitionByRange("doc_id").sortWithinPartitions("doc_id", "text"), run, schema, encodes=True).write.parquet(path)
+    texts = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).withColumn("h", F.xxhash64("text")).withColumn("row", F.monotonically_increasing_id())
+    order = ("doc_id", "h", "row")  # the row's number lets equal ids, and equal rows, be split
+    map_arrow(texts.repartitionByRange(*order).sortWithinPartitions("doc_id", "h", "text").select("doc_id", "text"), run, schema, encodes=True).write.parquet(path)
 
 
 def documents(spark: SparkSession, path: str) -> DataFrame:
@@ -149,13 +165,13 @@ def documents(spark: SparkSession, path: str) -> DataFrame:
     def run(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
         for base, width, listed, payload, index in zip(*(batch.column(i).to_pylist() for i in range(5)), strict=True):
             s = Shard(payload, index, width)
-            own = np.frombuffer(listed, "<i8").reshape(-1, 2)
-            lo, hi = s.find(own[:, 0], own[:, 1])
+            own = np.frombuffer(listed, "<i8").reshape(-1, 3)
+            lo, hi = s.find(own[:, 0], own[:, 1], own[:, 2] != 0)
             if (lo < 0).any():
                 raise ValueError("a document is missing from its shard's index")
             wide = s.ids.astype("<u4")
             crc = [zlib.crc32(wide[a:b]) for a, b in zip(lo.tolist(), hi.tolist(), strict=True)]
-            yield pa.RecordBatch.from_arrays([pa.array(own[:, 0], mask=own[:, 0] == NULL_ID), pa.array(lo + base), pa.array(hi - lo), pa.array(crc, pa.int64())], ["doc_id", "start", "n_tokens", "ids_crc32"])
+            yield pa.RecordBatch.from_arrays([pa.array(own[:, 0], mask=own[:, 2] != 0), pa.array(lo + base), pa.array(hi - lo), pa.array(crc, pa.int64())], ["doc_id", "start", "n_tokens", "ids_crc32"])
 
     def each(batches_: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches_:
