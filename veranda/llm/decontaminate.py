@@ -1,10 +1,12 @@
 """Benchmark decontamination with suffix arrays of the training data.
 
-Each shard of documents (about 2 MB of text, whole documents) gets a suffix array over its words, made by prefix doubling in
+Each shard of documents (about 1 MB of text, whole documents) gets a suffix array over its words, made by prefix doubling in
 numpy: sort by the first two words, then re-sort only what is still tied by 4, 8 and 16 words. The suffixes of every benchmark item
 are looked up by binary search, which yields the range of training suffixes that begin with them, the longest verbatim match and
 its places. A document is always whole within its shard, so hits are summed in the same task and nothing is shuffled.
-Benchmark items are handed out in blocks of at most block_bytes; one block is held at a time, whatever the benchmark's size.
+Benchmark items are handed out in blocks of at most block_bytes; a worker holds one block at a time, whatever the benchmark's size, and takes
+each block to SHARDS shards before it lets go of it. Which windows are worth a search is told by their first words (four, or fewer in short items):
+a shard's hashes of these are looked up in a block's sorted ones, so a shard costs its words times the logarithm of a block, whatever is in it.
 
 Odd rows: null or wordless texts have no words and no hits; wordless items never occur; repeated rows and items count each by
 itself (items with equal item_id count once in items); items without item_id count for hits and matches, but aren't in items; other columns are passed over."""
@@ -18,10 +20,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import as_bytes, cut, map_batches, without
-from .kernels import NOT_ALNUM, batches, ragged, words
+from .common import as_bytes, cut, map_arrow, without
+from .kernels import NOT_ALNUM, U64, batches, ragged, window_hashes, words
 
-WINDOW, BLOCK_BYTES = 10, 1 << 23
+WINDOW, BLOCK_BYTES, SHARDS, LEAD = 10, 1 << 23, 8, 4
 
 
 def suffix_array(token: np.ndarray, depth: int = WINDOW) -> np.ndarray:
@@ -68,6 +70,7 @@ class Shard:
         self.token = np.zeros(len(h) + len(texts), np.int64)
         self.token[np.arange(len(h)) + np.repeat(np.arange(len(texts)), n)] = token + 1
         self.n_words, self.order = n, suffix_array(self.token, depth)
+        self.hashes = h
         self.base = len(self.vocabulary) + 2
         self.two = self.token[self.order] * self.base + np.append(self.token, 0)[self.order + 1]
 
@@ -121,16 +124,41 @@ class Shard:
         return lo, hi, best
 
 
-def query_windows(texts: list[bytes], window: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Word hashes of each window of the items, (windows, window), the windows' lengths, their items, their first words."""
-    h, at, _, _ = words(texts, NOT_ALNUM, lower=True)
-    n = np.diff(at)
-    count = np.where(n >= window, n - window + 1, np.minimum(n, 1))
-    own = np.repeat(np.arange(len(texts)), count)
-    first = ragged(at[:-1], count)
-    i = first[:, None] + np.arange(window)
-    length = np.minimum(n[own], window)
-    return np.append(h, np.zeros(1, h.dtype))[np.minimum(i, len(h))], length, own, first - at[:-1][own]
+class Queries:
+    """All windows of some items, each as its first word and length, sorted by the hash of its leading words."""
+
+    def __init__(self, ids: list[int | None], texts: list[bytes], window: int):
+        self.h, at, _, _ = words(texts, NOT_ALNUM, lower=True)
+        self.window = window
+        self.ids, self.named = np.array([0 if x is None else x for x in ids], np.int64), np.array([x is not None for x in ids], bool)
+        n = np.diff(at)
+        count = np.where(n >= window, n - window + 1, np.minimum(n, 1))
+        self.own = np.repeat(np.arange(len(texts)), count)
+        self.first = ragged(at[:-1], count)
+        self.start = self.first - at[:-1][self.own]
+        self.length = np.minimum(n[self.own], window)
+        self.leads = []
+        for k in range(1, LEAD + 1):
+            some = np.flatnonzero(np.minimum(self.length, LEAD) == k)
+            keys = window_hashes(self.h, k)[self.first[some]] if len(some) else np.zeros(0, U64)
+            order = np.argsort(keys, kind="stable")
+            self.leads.append((keys[order], some[order]))
+
+    def near(self, shard: Shard) -> np.ndarray:
+        """The windows whose leading words follow one another in the shard."""
+        out = [np.zeros(0, np.int64)]
+        for k, (keys, some) in enumerate(self.leads, 1):
+            if len(keys):
+                have = window_hashes(shard.hashes, k)  # also over bounds of texts, which does no harm
+                at = np.searchsorted(keys, have)
+                have = np.unique(have[keys[np.minimum(at, len(keys) - 1)] == have])
+                lo, hi = np.searchsorted(keys, have, "left"), np.searchsorted(keys, have, "right")
+                out.append(some[ragged(lo, hi - lo)])
+        return np.sort(np.concatenate(out))
+
+    def hashes(self, some: np.ndarray) -> np.ndarray:
+        i = self.first[some][:, None] + np.arange(self.window)
+        return np.append(self.h, np.zeros(1, U64))[np.minimum(i, len(self.h))]
 
 
 def _ranks(shard: Shard, hashes: np.ndarray, length: np.ndarray) -> np.ndarray:
@@ -138,6 +166,51 @@ def _ranks(shard: Shard, hashes: np.ndarray, length: np.ndarray) -> np.ndarray:
     return np.where(np.arange(hashes.shape[1]) < length[:, None], flat, -1)
 
 
+class Hits:
+    """What has been found in a shard so far."""
+
+    def __init__(self, ids: pa.Array, texts: list[bytes], window: int):
+        self.ids, self.shard = ids, Shard(texts, window)
+        self.hit = np.zeros(len(self.shard.token) + 1, np.int64)
+        self.pair, self.found = [np.zeros((0, 2), np.int64)], [np.zeros((6, 0), np.int64)]
+
+    def search(self, q: Queries) -> None:
+        s, some = self.shard, q.near(self.shard)
+        length = q.length[some]
+        lo, hi, best = s.ranges(_ranks(s, q.hashes(some), length), length)
+        k = np.flatnonzero((best == length) & (length > 0))
+        at = s.order[ragged(lo[k], hi[k] - lo[k])]
+        w = some[np.repeat(k, hi[k] - lo[k])]
+        if not len(w):
+            return
+        np.add.at(self.hit, at, 1)
+        np.add.at(self.hit, at + q.length[w], -1)
+        of = np.searchsorted(s.begin, at, "right") - 1
+        k = q.named[q.own[w]]
+        self.pair.append(np.unique(np.stack((of[k], q.ids[q.own[w[k]]]), 1), axis=0))
+        o = np.lexsort((q.start[w], at - q.start[w], q.own[w]))
+        at, w, of = at[o], w[o], of[o]
+        own, start = q.own[w], q.start[w]
+        same = (own[1:] == own[:-1]) & (at[1:] == at[:-1] + 1) & (start[1:] == start[:-1] + 1)
+        a0, a1 = np.flatnonzero(np.append(True, ~same)), np.flatnonzero(np.append(~same, True))
+        self.found.append(np.stack((of[a0], at[a0] - s.begin[of[a0]], q.ids[own[a0]], q.named[own[a0]], start[a0], a1 - a0 + q.length[w[a0]])))
+
+    def rows(self) -> pa.RecordBatch:
+        s, n = self.shard, len(self.ids)
+        cover = (np.cumsum(self.hit)[:-1] > 0).astype(np.int8)
+        edge = np.flatnonzero(np.diff(np.concatenate(([0], cover, [0])))).reshape(-1, 2)
+        doc = np.searchsorted(s.begin, edge[:, 0], "right") - 1
+        n_hit = np.bincount(doc, edge[:, 1] - edge[:, 0], n).astype(np.int64)
+        ends = lambda of: pa.array(np.concatenate(([0], np.cumsum(np.bincount(of, minlength=n)))).astype(np.int32))
+        edge = edge - s.begin[doc][:, None]
+        spans = pa.ListArray.from_arrays(ends(doc), pa.StructArray.from_arrays([pa.array(edge[:, 0]), pa.array(edge[:, 1])], ["from", "to"]))
+        both = np.unique(np.concatenate(self.pair), axis=0)
+        m = np.concatenate(self.found, axis=1)
+        m = m[:, np.lexsort(m[[4, 2, 1, 0]])]
+        matches = pa.ListArray.from_arrays(ends(m[0]), pa.StructArray.from_arrays([pa.array(m[2], mask=m[3] == 0), pa.array(m[4]), pa.array(m[1]), pa.array(m[5])], ["item", "item_from", "from", "length"]))
+        return pa.RecordBatch.from_arrays([self.ids, pa.array(s.n_words.astype(np.int64)), pa.array(n_hit), pa.ListArray.from_arrays(ends(both[:, 0]), pa.array(both[:, 1])), spans, matches], ["doc_id", "n_words", "n_hit", "items", "spans", "matches"])
+
+
 def _blocks(benchmark: DataFrame, block_bytes: int) -> list:
     """Broadcasts of (item ids, texts), each of at most about block_bytes, read one after another."""
     sc, out, ids, texts, size = benchmark.sparkSession.sparkContext, [], [], [], 0
@@ -157,55 +230,34 @@ def contamination(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, b
     merged [from, to) word ranges that they cover, and each verbatim match of a window or more at its whole length (item, item_from, from, length in
     words). All windows of an item are looked up, so a longer match is a run of hits one word apart on both sides."""
     blocks = _blocks(benchmark, block_bytes)
-    one: dict = {}
-
-    def queries(i: int):
-        if i not in one:
-            one.clear()
-            ids, texts = blocks[i].value
-            named = np.array([x is not None for x in ids], bool)
-            one[i] = (np.array([0 if x is None else x for x in ids], np.int64), named, *query_windows(texts, window))
-        return one[i]
-
-    def run(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
-        texts = as_bytes(batch.column(1))
-        for a, b in batches(texts):  # one shard at a time: a suffix array takes tens of bytes a word
-            s = Shard(texts[a:b], window)
-            hit, pair = np.zeros(len(s.token) + 1, np.int64), []
-            found = [np.zeros((6, 0), np.int64)]
-            for i in range(len(blocks)):
-                ids, named, hashes, length, own, start = queries(i)
-                lo, hi, best = s.ranges(_ranks(s, hashes, length), length)
-                w = np.flatnonzero((best == length) & (length > 0))
-                at = s.order[ragged(lo[w], hi[w] - lo[w])]
-                w = np.repeat(w, hi[w] - lo[w])
-                np.add.at(hit, at, 1)
-                np.add.at(hit, at + length[w], -1)
-                of = np.searchsorted(s.begin, at, "right") - 1
-                k = named[own[w]]
-                pair.append(np.unique(np.stack((of[k], ids[own[w[k]]]), 1), axis=0))
-                if len(w):
-                    o = np.lexsort((start[w], at - start[w], own[w]))
-                    at, w, of = at[o], w[o], of[o]
-                    same = (own[w[1:]] == own[w[:-1]]) & (at[1:] == at[:-1] + 1) & (start[w[1:]] == start[w[:-1]] + 1)
-                    a0, a1 = np.flatnonzero(np.append(True, ~same)), np.flatnonzero(np.append(~same, True))
-                    found.append(np.stack((of[a0], at[a0] - s.begin[of[a0]], ids[own[w[a0]]], named[own[w[a0]]], start[w[a0]], a1 - a0 + length[w[a0]])))
-            cover = (np.cumsum(hit)[:-1] > 0).astype(np.int8)
-            edge = np.flatnonzero(np.diff(np.concatenate(([0], cover, [0])))).reshape(-1, 2)
-            doc = np.searchsorted(s.begin, edge[:, 0], "right") - 1
-            n_hit = np.bincount(doc, edge[:, 1] - edge[:, 0], b - a).astype(np.int64)
-            at = np.concatenate(([0], np.cumsum(np.bincount(doc, minlength=b - a)))).astype(np.int32)
-            edge = edge - s.begin[doc][:, None]
-            spans = pa.ListArray.from_arrays(pa.array(at), pa.StructArray.from_arrays([pa.array(edge[:, 0]), pa.array(edge[:, 1])], ["from", "to"]))
-            both = np.unique(np.concatenate(pair), axis=0) if pair else np.zeros((0, 2), np.int64)
-            of = np.concatenate(([0], np.cumsum(np.bincount(both[:, 0], minlength=b - a)))).astype(np.int32)
-            m = np.concatenate(found, axis=1)
-            m = m[:, np.lexsort(m[[4, 2, 1, 0]])]
-            ends = np.concatenate(([0], np.cumsum(np.bincount(m[0], minlength=b - a)))).astype(np.int32)
-            matches = pa.ListArray.from_arrays(pa.array(ends), pa.StructArray.from_arrays([pa.array(m[2], mask=m[3] == 0), pa.array(m[4]), pa.array(m[1]), pa.array(m[5])], ["item", "item_from", "from", "length"]))
-            yield pa.RecordBatch.from_arrays([batch.column(0)[a:b], pa.array(s.n_words.astype(np.int64)), pa.array(n_hit), pa.ListArray.from_arrays(pa.array(of), pa.array(both[:, 1])), spans, matches], ["doc_id", "n_words", "n_hit", "items", "spans", "matches"])
-
-    return map_batches(docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")), run, "doc_id long, n_words long, n_hit long, items array<long>, spans array<struct<from: long, to: long>>, matches array<struct<item: long, item_from: long, from: long, length: long>>")
+    last: dict[int, Queries] = {}
+
+    def queries(i: int) -> Queries:
+        if i not in last:
+            last.clear()
+            last[i] = Queries(*blocks[i].value, window)
+            blocks[i].__dict__.pop("_value", None)  # it can be read again from where the executor keeps it
+        return last[i]
+
+    def flush(held: list[Hits]) -> Iterator[pa.RecordBatch]:
+        for i in range(len(blocks)):
+            q = queries(i)
+            for x in held:
+                x.search(q)
+        yield from (x.rows() for x in held)
+        held.clear()
+
+    def run(source: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[Hits] = []
+        for batch in source:
+            texts = as_bytes(batch.column(1))
+            for a, b in batches(texts):  # a suffix array takes tens of bytes a word
+                held.append(Hits(batch.column(0)[a:b], texts[a:b], window))
+                if len(held) >= (SHARDS if len(blocks) > 1 else 1):
+                    yield from flush(held)
+        yield from flush(held)
+
+    return map_arrow(docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")), run, "doc_id long, n_words long, n_hit long, items array<long>, spans array<struct<from: long, to: long>>, matches array<struct<item: long, item_from: long, from: long, length: long>>")
 
 
 def longest_matches(texts: list[bytes], items: list[bytes], limit: int | None = None) -> list[tuple[int, int, int, int, int]]:
