@@ -359,3 +359,11 @@ def test_hashes_of_words():
     h, at, _, _ = kernels.words([b"a b", b"", b"b a  b"])
     assert h[0] == h[3] and h[1] == h[2] == h[4] and at.tolist() == [0, 2, 2, 5]
     assert kernels.window_hashes(h, 2)[0] == kernels.window_hashes(h, 2)[3]
+
+
+def test_url_filter_on_odd_html_and_clashing_columns(spark):
+    names = ["host", "path", "rule", "verdict", "ruled", "best", "src", "dst", "rank", "kind", "trust"]
+    rows = [(1, "http://a.com/x", "<a " * 60_000), (2, "http://b.com/", "<a href='http://a.com/'>" * 3), (2, "http://b.com/", None)]
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string").select("*", *[F.lit("clash").alias(n) for n in names])
+    got = url_filter.filter_urls(pages, [("a.com", "", "block")]).collect()
+    assert sorted((r.page_id, r.host, r.verdict) for r in got) == [(1, "a.com", "block"), (2, "b.com", "block"), (2, "b.com", "block")]
