@@ -109,3 +109,107 @@ def generic_tokens(positions: DataFrame, n: int = 12) -> DataFrame:
     """(token) of the n most common in positions(page_num, pos, token), of equals the first to occur."""
     counts = positions.groupBy("token").agg(F.count("*").alias("c"), F.min(F.struct("page_num", "pos")).alias("first"))
     return counts.orderBy(F.desc("c"), "first").limit(n).select("token")
+
+
+def text_exists(claims: DataFrame, pages: DataFrame, sizes: tuple[int, ...] = (4, 3, 2), least: int = 6, keys: int = 6, enough: int = 3) -> DataFrame:
+    """(id, by_phrase, by_keys): whether any page(page_num, words) has a run of the claim's words, or as many of its first key words as are enough;
+    claims(id, words, keys). Claims without key words exist nowhere."""
+    c = claims.where(F.size("keys") > 0)
+    runs = c.select("id", F.explode(phrases(F.col("words"), list(sizes), least)).alias("r")).select("id", "r.phrase").distinct()
+    there = pages.select(F.explode(F.array_distinct(F.transform(phrases(F.col("words"), list(sizes), least), lambda r: r["phrase"]))).alias("phrase")).join(runs.select("phrase").distinct(), "phrase", "left_semi").distinct()
+    found = runs.join(there, "phrase").select("id").distinct().withColumn("by_phrase", F.lit(True))
+    first = c.select("id", F.least(F.lit(enough), F.size("keys")).alias("need"), F.explode(F.slice("keys", 1, keys)).alias("word"))
+    on = pages.select("page_num", F.explode(F.array_distinct("words")).alias("word"))
+    hits = first.join(on, "word").groupBy("id", "page_num", "need").agg(F.count("*").alias("n")).where("n >= need").select("id").distinct().withColumn("by_keys", F.lit(True))
+    return claims.select("id").join(found, "id", "left").join(hits, "id", "left").select("id", F.coalesce("by_phrase", F.lit(False)).alias("by_phrase"), F.coalesce("by_keys", F.lit(False)).alias("by_keys"))
+
+
+def keyword_clusters(hits: DataFrame, dy: float = 200.0, dx: float = 400.0) -> DataFrame:
+    """(id, page_num, hits, cluster): the number of hits(id, page_num, x, y) and of those around the one that most are near to, by bands of dy."""
+    near = hits.withColumn("band", F.floor(F.col("y") / dy).cast("long")).withColumn("row", F.struct("x", "y"))
+    # equal places count together, so that a common word's rows don't meet one by one
+    spots = near.groupBy("id", "page_num", "band", "row").agg(F.count("*").alias("n"))
+    a = spots.withColumn("band", F.explode(F.array(F.col("band") - 1, F.col("band"), F.col("band") + 1))).alias("a")
+    b = spots.alias("b")
+    met = a.join(b, (F.col("a.id") == F.col("b.id")) & (F.col("a.page_num") == F.col("b.page_num")) & (F.col("a.band") == F.col("b.band")) & (F.abs(F.col("a.row.y") - F.col("b.row.y")) < dy) & (F.abs(F.col("a.row.x") - F.col("b.row.x")) < dx))
+    around = met.groupBy("a.id", "a.page_num", "a.row").agg(F.sum("b.n").alias("n")).groupBy("id", "page_num").agg(F.max("n").alias("cluster"))
+    return spots.groupBy("id", "page_num").agg(F.sum("n").alias("hits")).join(around, ["id", "page_num"])
+
+
+def find_text(claims: DataFrame, pages: DataFrame, words: DataFrame, keys: int = 10, context: int = 6, boost: float = 0.15) -> DataFrame:
+    """(id, page_num, confidence, method): how surely each page has each claim(id, words, keys, context). By the longest run of words that the page has, with a
+    boost for words of the context; without one by the claim's first key words: a cluster of them, a single one, or any. pages(page_num, words) and
+    words(page_num, text, x, y) are the same pages. Only pairs that share a run or a key word have a row."""
+    n = claims.select("id", F.size("words").alias("n"), F.size("keys").alias("k"))
+    known = claims.where(F.size("keys") > 0)
+    runs = longest_phrase(known.select("id", "words"), pages, [6, 5, 4, 3, 2], 8)
+    near = known.select("id", F.explode(F.slice(F.filter("context", lambda w: F.length(w) >= 4), 1, context)).alias("word"))
+    total = near.groupBy("id").agg(F.count("*").alias("all"))
+    on = pages.select("page_num", F.explode(F.array_distinct("words")).alias("word"))
+    met = runs.select("id", "page_num").join(near, "id").join(on, ["page_num", "word"]).groupBy("id", "page_num").agg(F.count("*").alias("met"))
+    phrase = runs.join(n, "id").join(total, "id", "left").join(met, ["id", "page_num"], "left")
+    score = F.least(F.lit(1.0), F.col("size") / F.greatest("n", "size") + F.coalesce(boost * F.col("met") / F.col("all"), F.lit(0.0)))
+    by_phrase = phrase.select("id", "page_num", score.alias("confidence"), F.lit("phrase").alias("method"))
+    first = known.select("id", F.explode(F.array_distinct(F.slice("keys", 1, keys))).alias("text"))
+    hits = first.join(words, "text").join(runs.select("id", "page_num"), ["id", "page_num"], "left_anti").select("id", "page_num", "x", "y")
+    found = keyword_clusters(hits).join(n, "id")
+    method = F.when(F.col("hits") == 1, "single").when(F.col("cluster") >= 2, "cluster").otherwise("any")
+    value = F.when(F.col("hits") == 1, 0.25).when(F.col("cluster") >= 2, F.least(F.col("cluster") / F.col("k"), F.lit(0.6))).otherwise(0.2)
+    return by_phrase.unionByName(found.select("id", "page_num", value.alias("confidence"), method.alias("method")))
+
+
+def first_good(found: DataFrame, claims: DataFrame, least: float = 0.15) -> DataFrame:
+    """(id, page_num, confidence, method): of found() the claim's old page (id, old) if it is good enough, else the first page that is; not the best."""
+    rows = found.where(F.col("confidence") > least).join(claims.select("id", "old"), "id")
+    best = rows.groupBy("id").agg(F.min(F.struct((F.col("page_num") != F.col("old")).alias("other"), "page_num", "confidence", "method")).alias("b"))
+    return best.select("id", "b.page_num", "b.confidence", "b.method")
+
+
+def seed_lines(points: DataFrame, words: DataFrame, radii: tuple[float, ...] = (30, 60, 110, 170), least: int = 3, key: str = "page_num") -> DataFrame:
+    """(id, radius, word columns): all words of the lines that hold a seed of the point(id, page, px, py), that is a word(page, line, ...) within the smallest
+    of the radii that has `least` words."""
+    p, w, r = points.alias("p"), words.alias("w"), ladder(points, words, list(radii), least, key).alias("r")
+    far = rect_distance(*_rect("w"), F.col("p.px"), F.col("p.py"))
+    seeds = p.join(r, F.col("p.id") == F.col("r.id")).join(w, (F.col(f"p.{key}") == F.col(f"w.{key}")) & (far <= F.col("r.radius"))).select("p.id", "r.radius", f"w.{key}", "w.line").distinct()
+    return seeds.join(words, [key, "line"])
+
+
+def key_pairs(left: DataFrame, right: DataFrame, n: int = 30) -> DataFrame:
+    """(a, b) of keys left(a) and right(b) of which one begins with the other's first n characters. Beginnings meet by equality, so no key meets all others."""
+    heads = lambda df, c: df.select(c, F.explode(F.transform(F.sequence(F.lit(1), F.least(F.length(c), F.lit(n))), lambda i: F.substring(F.col(c), F.lit(1), i))).alias("head"))
+    a, b = left.where("a <> ''").distinct(), right.where("b <> ''").distinct()
+    one = heads(a, "a").join(b.withColumn("head", F.substring("b", 1, n)), "head").select("a", "b")
+    other = heads(b, "b").join(a.withColumn("head", F.substring("a", 1, n)), "head").select("a", "b")
+    # a key begins with the other's first n characters, so these are among its own beginnings
+    return one.unionByName(other).distinct()
+
+
+def match_truth(truth: DataFrame, placed: DataFrame) -> DataFrame:
+    """(id, by_content, how, by_key, distance, good) of each row of truth(id, content, key, x, y): the first of placed(index, content, key, x, y, status) with equal
+    normalised content, else with the same first 40 characters; and of those with an equal key, else a key that begins alike, the nearest one. It is good
+    if it is nearer than 80 and not removed."""
+    norm = lambda df: df.withColumn("norm", F.trim(F.regexp_replace(F.lower("content"), r"\s+", " "))).withColumn("head", F.substring("norm", 1, 40))
+    g, a = norm(truth), norm(placed)
+    same = g.select("id", "norm").join(a.groupBy("norm").agg(F.min("index").alias("same")), "norm").select("id", "same")
+    alike = g.select("id", "head").join(a.where("head <> ''").groupBy("head").agg(F.min("index").alias("alike")), "head").select("id", "alike")
+    equal = g.where("key is not null").select("id", "x", "y", "key", F.col("key").alias("other")).join(a.select(F.col("key").alias("other")).distinct(), "other")
+    pairs = key_pairs(g.join(equal.select("id"), "id", "left_anti").select(F.col("key").alias("a")), a.select(F.col("key").alias("b")))
+    near = g.join(equal.select("id"), "id", "left_anti").select("id", "x", "y", "key").join(pairs, F.col("key") == F.col("a")).select("id", "x", "y", "key", F.col("b").alias("other"))
+    both = equal.select("id", "x", "y", "other").unionByName(near.select("id", "x", "y", "other")).join(a.select(F.col("key").alias("other"), "index", "status", F.col("x").alias("px"), F.col("y").alias("py")), "other")
+    best = both.groupBy("id").agg(F.min(F.struct(F.coalesce(F.hypot(F.col("px") - F.col("x"), F.col("py") - F.col("y")), F.lit(9999.0)).alias("d"), "index", "status")).alias("b"))
+    rows = g.select("id").join(same, "id", "left").join(alike, "id", "left").join(best, "id", "left")
+    return rows.select("id", F.coalesce("same", "alike").alias("by_content"), F.when(F.col("same").isNotNull(), "content").when(F.col("alike").isNotNull(), "prefix").alias("how"), F.col("b.index").alias("by_key"), F.col("b.d").alias("distance"), F.coalesce((F.col("b.d") < 80) & (F.col("b.status") != "content_removed"), F.lit(False)).alias("good"))
+
+
+def score_truth(truth: DataFrame, placed: DataFrame) -> DataFrame:
+    """One row of counts: matched by key and of these good; placed rows and of these kept (their key is the truth's, or begins alike), removed ones that were kept,
+    each also by equal keys alone, and keys that are placed more than once."""
+    m = match_truth(truth, placed).agg(F.count("by_key").alias("matched"), F.count_if("good").alias("good"))
+    keys = truth.where("key is not null").select(F.col("key").alias("b")).distinct()
+    pairs = key_pairs(placed.select(F.col("key").alias("a")), keys).select(F.col("a").alias("key")).distinct().withColumn("kept", F.lit(True))
+    equal = keys.select(F.col("b").alias("key")).withColumn("exact", F.lit(True))
+    gone = F.col("status") == "content_removed"
+    rows = placed.join(pairs, "key", "left").join(equal, "key", "left")
+    counts = rows.agg(F.count_if(~gone).alias("placed"), F.count_if(~gone & F.col("kept")).alias("placed_kept"), F.count_if(gone & F.col("kept")).alias("removed_kept"), F.count_if(~gone & F.col("exact")).alias("placed_exact"), F.count_if(gone & F.col("exact")).alias("removed_exact"))
+    twice = placed.where(~gone & F.col("key").isNotNull()).groupBy("key").agg(F.count("*").alias("c")).where("c > 1").agg(F.count("*").alias("repeated_keys"))
+    return m.crossJoin(counts).crossJoin(twice)  # one row each

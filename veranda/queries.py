@@ -207,13 +207,6 @@ def src3(t):
     return t.part.select("p_partkey", S.font_size(da).alias("size"))
 
 
-@query("src1_src4_src5_routing", """select l_suppkey as page_num, count(*) filter (l_linenumber in (4, 8)) as boxes, count(*) filter (l_linenumber = 2) as callouts, count(*) filter (l_linenumber = 3) as arrows,
-    count(*) filter (l_linenumber not in (2, 3, 4, 8)) as skipped from lineitem group by l_suppkey""")
-def src5(t):
-    code = F.col("l_linenumber")
-    return t.lineitem.groupBy(F.col("l_suppkey").alias("page_num")).agg(F.count_if(code.isin(4, 8)).alias("boxes"), F.count_if(code == 2).alias("callouts"), F.count_if(code == 3).alias("arrows"), F.count_if(~code.isin(2, 3, 4, 8)).alias("skipped"))
-
-
 @query("src7_src9_src10_text_layer", f"with {_WORDS} select page_num, count(*) >= 25 as text_layer, count(*) >= 15 as live_text from words group by page_num")
 def src7(t):
     return words(t.documents).groupBy("page_num").agg((F.count("*") >= 25).alias("text_layer"), (F.count("*") >= 15).alias("live_text"))
@@ -256,13 +249,13 @@ def geo3(t):
     return t.lineitem.groupBy("l_suppkey").agg(F.min("l_quantity").alias("x0"), F.min("l_discount").alias("y0"), F.max("l_quantity").alias("x1"), F.max("l_discount").alias("y1"))
 
 
-@query("geo4_geo8_scale_and_direction", """select l_orderkey, l_linenumber, greatest(1.0, l_extendedprice / 900) as scale, (case l_linenumber % 4 when 0 then 1 when 2 then -1 else 0 end)::double as dx, (case l_linenumber % 4 when 1 then -1 when 3 then 1 else 0 end)::double as dy from lineitem""")
+@query("geo4_geo8_scale_and_direction", """select l_orderkey, l_linenumber, greatest(1.0, l_extendedprice / 900) as scale, (case l_linenumber % 4 when 0 then 1 when 2 then -1 else 0 end)::double as dx, (case l_linenumber % 4 when 1 then 1 when 3 then -1 else 0 end)::double as dy from lineitem""")
 def geo4(t):
     d = G.quarter_direction(F.col("l_linenumber"))
     return t.lineitem.select("l_orderkey", "l_linenumber", G.page_scale(F.col("l_extendedprice")).alias("scale"), d["dx"].alias("dx"), d["dy"].alias("dy"))
 
 
-@query("geo2_geo5_geo6_geo7_anchors", """select l_orderkey, l_linenumber, case when l_linenumber = 1 then 1.0 when l_linenumber = 2 then l_quantity when l_linenumber = 3 then 3.0 else (l_quantity + l_quantity + 8) / 2 end as x, coalesce(case when l_returnflag = 'R' then l_partkey end, l_suppkey) as page from lineitem""")
+@query("geo5_geo7_anchors", """select l_orderkey, l_linenumber, case when l_linenumber = 1 then 1.0 when l_linenumber = 2 then l_quantity when l_linenumber = 3 then 3.0 else (l_quantity + l_quantity + 8) / 2 end as x, coalesce(case when l_returnflag = 'R' then l_partkey end, l_suppkey) as page from lineitem""")
 def geo5(t):
     pt = lambda x: F.struct(x.alias("x"), F.lit(0.0).alias("y"))
     n, q = F.col("l_linenumber"), F.col("l_quantity")
@@ -289,7 +282,7 @@ def geo11(t):
     return t.events.where("value is not null").select("event_id", F.bround(F.col("value") * 2, 0).alias("even"), F.floor(F.col("value") / 20).cast("double").alias("band"))
 
 
-@query("geo12_fitting_size")
+@query("geo12_fitting_size", """select p_partkey, round(list_filter(list_transform(range(11), lambda k: 8 * pow(0.9, k)), lambda v: v * p_size * 10 <= p_retailprice or v <= 3)[1], 9) as size from part""")
 def geo12(t):
     return t.part.select("p_partkey", F.round(G.fitting_size(F.col("p_size") * 10.0, F.col("p_retailprice")), 9).alias("size"))
 
@@ -394,18 +387,6 @@ def jn7(t):
     return M.longest_phrase(t.benchmark.select(F.col("item_id").alias("id"), w), t.documents.select(F.col("doc_id").alias("page_num"), w), [6, 5, 4, 3, 2], 8)
 
 
-@query("jn8_clusters", """
-with h as (select l_suppkey as page_num, l_orderkey * 10 + l_linenumber as id, l_extendedprice / 50 as y, l_quantity * 20 as x from lineitem where l_linenumber = 2)
-select a.page_num, a.id, count(*) as near from h a join h b on a.page_num = b.page_num and abs(a.y - b.y) < 200 and abs(a.x - b.x) < 400 group by a.page_num, a.id having count(*) >= 2""")
-def jn8(t):
-    h = t.lineitem.where("l_linenumber = 2").select(F.col("l_suppkey").alias("page_num"), (F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("id"), (F.col("l_extendedprice") / 50).alias("y"), (F.col("l_quantity") * 20).alias("x"))
-    # bands of 200: a row meets those of its own band and the two beside it
-    a = h.withColumn("band", F.explode(F.transform(F.array(F.lit(-1), F.lit(0), F.lit(1)), lambda d: F.floor(F.col("y") / 200) + d))).alias("a")
-    b = h.withColumn("band", F.floor(F.col("y") / 200)).alias("b")
-    met = a.join(b, (F.col("a.page_num") == F.col("b.page_num")) & (F.col("a.band") == F.col("b.band")) & (F.abs(F.col("a.y") - F.col("b.y")) < 200) & (F.abs(F.col("a.x") - F.col("b.x")) < 400))
-    return met.groupBy("a.page_num", "a.id").agg(F.count("*").alias("near")).where("near >= 2")
-
-
 @query("jn10_ordinal_pairs", """
 with u as (select conv_id, turn, row_number() over (partition by conv_id order by turn) as rn, count(*) over (partition by conv_id) as n from conversations where role = 'user'),
 a as (select conv_id, turn as answer, row_number() over (partition by conv_id order by turn) as rn, count(*) over (partition by conv_id) as m from conversations where role = 'assistant')
@@ -416,13 +397,6 @@ def jn10(t):
     return M.ordinal_pairs(c.where("role = 'user'").select("conv_id", "turn"), b, "conv_id", ["turn"], ["answer"], ["answer"]).select("conv_id", "turn", "answer", "exact")
 
 
-@query("jn11_defaults", """select l_orderkey, l_linenumber, coalesce(p_size::double, 26.0) as x, 40 + 34 * (row_number() over (partition by l_suppkey order by l_orderkey, l_linenumber, l_partkey, l_extendedprice) - 1) as y from lineitem left join part on l_partkey = p_partkey and p_size < 25""")
-def jn11(t):
-    p = t.part.where("p_size < 25").select(F.col("p_partkey").alias("l_partkey"), F.col("p_size").cast("double").alias("x"))
-    rn = F.row_number().over(Window.partitionBy("l_suppkey").orderBy("l_orderkey", "l_linenumber", "l_partkey", "l_extendedprice"))
-    return t.lineitem.join(p, "l_partkey", "left").select("l_orderkey", "l_linenumber", F.coalesce("x", F.lit(26.0)).alias("x"), (40 + 34 * (rn - 1)).alias("y"))
-
-
 @query("jn12_as_of", """
 with l as (select event_id, user_id, ts from events where event_type <> 'purchase'), r as (select user_id, ts, max(value) as shift from events where event_type = 'purchase' group by user_id, ts)
 select l.event_id, r.shift from l asof left join r on l.user_id = r.user_id and l.ts >= r.ts""")
@@ -461,14 +435,6 @@ def jn14(t):
     return fuzzy_words(claims, tokens(t.documents, "doc_id", "page_num").select("token").distinct())
 
 
-@query("jn20_agg9_evaluation", """
-with g as (select doc_id, quality, toxic from labels), a as (select doc_id, n_chars > 1500 as kept from documents)
-select count(*) as labelled, count(*) filter (quality = 1 and kept) as placed, count(*) filter (quality = 0 and kept) as dropped_but_kept, count(*) filter (toxic = 1) as toxic, round(avg((quality = (case when kept then 1 else 0 end))::int), 6) as agreement from g join a using (doc_id)""")
-def jn20(t):
-    x = t.labels.join(t.documents.select("doc_id", (F.col("n_chars") > 1500).alias("kept")), "doc_id")
-    return x.agg(F.count("*").alias("labelled"), F.count_if((F.col("quality") == 1) & F.col("kept")).alias("placed"), F.count_if((F.col("quality") == 0) & F.col("kept")).alias("dropped_but_kept"), F.count_if(F.col("toxic") == 1).alias("toxic"), F.round(F.avg((F.col("quality") == F.col("kept").cast("int")).cast("int")), 6).alias("agreement"))
-
-
 # ---------------------------------------------------------------- aggregates
 @query("agg1_reg7_summary", """select count(*) filter (l_linenumber = 1) as total, count(*) filter (l_returnflag <> 'N') as matched, count(*) filter (l_returnflag = 'N') as unmatched,
     count(*) filter (l_linenumber = 1 and l_returnflag = 'A') as moved, count(*) filter (l_linenumber = 1 and l_returnflag = 'R') as needs_look, count(*) filter (l_linenumber = 1 and l_returnflag = 'N') as content_removed from lineitem""")
@@ -488,12 +454,11 @@ def agg5(t):
     return t.lineitem.groupBy("l_suppkey").agg(F.avg(good.cast("double")).alias("share"), F.floor(F.median(F.when(good, F.col("l_partkey")))).cast("int").alias("target"))
 
 
-@query("agg6_snk3_snk4_pages", """select s_suppkey as page_num, coalesce(n, 0) as n, n is null as empty, top from supplier left join (select l_suppkey, count(*) as n, max(l_orderkey * 10 + l_linenumber) as top from lineitem where l_returnflag = 'R' and l_quantity > 45 group by l_suppkey) on l_suppkey = s_suppkey""")
-def agg6(t):
+@query("snk4_all_pages", "select c_custkey as page_num, coalesce(n, 0) as n, n is null as empty, top from customer left join (select o_custkey, count(*) as n, max(o_orderkey) as top from orders group by o_custkey) on o_custkey = c_custkey")
+def snk4(t):
     from .plans.flows import all_pages
 
-    a = t.lineitem.where("l_returnflag = 'R' and l_quantity > 45").select(F.col("l_suppkey").alias("page_num"), (F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("index"))
-    return all_pages(t.supplier.select(F.col("s_suppkey").alias("page_num")), a).select("page_num", "n", "empty", "top")
+    return all_pages(t.customer.select(F.col("c_custkey").alias("page_num")), t.orders.select(F.col("o_custkey").alias("page_num"), F.col("o_orderkey").alias("index"))).select("page_num", "n", "empty", "top")
 
 
 @query("agg7_ink_profile", "select label, i, round(avg(v), 5) as mean, count(*) filter (abs(v) > 0.1) as ink from (select label, unnest(embedding) as v, generate_subscripts(embedding, 1) - 1 as i from embeddings) group by label, i")
@@ -501,11 +466,6 @@ def agg7(t):
     return t.embeddings.select("label", F.posexplode("embedding").alias("i", "v")).groupBy("label", "i").agg(F.round(F.avg("v"), 5).alias("mean"), F.count_if(F.abs("v") > F.lit(0.1).cast("float")).alias("ink"))
 
 
-@query("agg8_skipped", "select count(*) filter (n_chars < 500) as ocr_pages, count(*) as pages from documents")
-def agg8(t):
-    return t.documents.agg(F.count_if(F.col("n_chars") < 500).alias("ocr_pages"), F.count("*").alias("pages"))
-
-
 @query("agg10_regression", "select l_suppkey, round(regr_slope(l_extendedprice, l_quantity), 4) as slope, round(regr_intercept(l_extendedprice, l_quantity), 2) as cut from lineitem group by l_suppkey")
 def agg10(t):
     return t.lineitem.groupBy("l_suppkey").agg(F.round(F.regr_slope("l_extendedprice", "l_quantity"), 4).alias("slope"), F.round(F.regr_intercept("l_extendedprice", "l_quantity"), 2).alias("cut"))
@@ -525,17 +485,7 @@ def win1(t):
     return O.reading_order(rows).select(F.col("index").alias("l_orderkey"), F.col("page_num").alias("l_linenumber"), "number")
 
 
-@query("win2_context", f"""with {_WORDS} select page_num, pos, before, after from (select page_num, pos, string_agg(text, ' ') over (partition by page_num order by pos rows between 10 preceding and 1 preceding) as before,
-    string_agg(text, ' ') over (partition by page_num order by pos rows between 1 following and 10 following) as after from words) where pos % 50 = 25""")
-def win2(t):
-    """Ten words before and after each place: slices of the page's own word array, no window over exploded words."""
-    ws = t.documents.select(F.col("doc_id").alias("page_num"), S.split_words("text").alias("ws"))
-    at = ws.where(F.size("ws") > 25).select("page_num", "ws", F.explode(F.sequence(F.lit(25), F.size("ws") - 1, F.lit(50))).alias("pos"))
-    join = lambda lo, n: F.nullif(F.array_join(F.slice("ws", lo, n), " "), F.lit(""))
-    return at.select("page_num", "pos", join(F.col("pos") - 9, F.lit(10)).alias("before"), join(F.col("pos") + 2, F.lit(10)).alias("after"))
-
-
-@query("win2_context_each", f"""with {_WORDS} select page_num, pos, string_agg(text, ' ') over (partition by page_num order by pos rows between 10 preceding and 1 preceding) as before,
+@query("win2_context", f"""with {_WORDS} select page_num, pos, string_agg(text, ' ') over (partition by page_num order by pos rows between 10 preceding and 1 preceding) as before,
     string_agg(text, ' ') over (partition by page_num order by pos rows between 1 following and 10 following) as after from words""")
 def win2_each(t):
     """The same for every word of every page."""
@@ -562,13 +512,6 @@ def win6(t):
     return t.lineitem.where("l_discount < 0.03").withColumn("rn", rn).where("rn <= 2").select("l_orderkey", "l_linenumber")
 
 
-@query("win7_win8_superscripts", """select l_orderkey, l_linenumber from (select *, lag(l_comment) over w as prev, max(l_quantity) filter (l_returnflag <> 'N') over (partition by l_orderkey) as body from (select *, l_shipdate::varchar as l_comment from lineitem) window w as (partition by l_orderkey order by l_linenumber, l_partkey, l_extendedprice)) where prev is not null and l_quantity <= 0.9 * body""")
-def win8(t):
-    w = Window.partitionBy("l_orderkey")
-    x = t.lineitem.withColumn("prev", F.lag("l_shipdate").over(w.orderBy("l_linenumber", "l_partkey", "l_extendedprice"))).withColumn("body", F.max(F.when(F.col("l_returnflag") != "N", F.col("l_quantity"))).over(w))
-    return x.where(F.col("prev").isNotNull() & (F.col("l_quantity") <= 0.9 * F.col("body"))).select("l_orderkey", "l_linenumber")
-
-
 @query("win10_drop_duplicates")
 def win10(t):
     rows = t.lineitem.select((F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("id"), F.col("l_partkey").alias("k"), F.col("l_linenumber").alias("page_num"), (F.col("l_quantity") * 10).alias("x"), (F.col("l_extendedprice") / 100).alias("y"), (-F.col("l_discount")).alias("c"))
@@ -594,7 +537,8 @@ def txt1(t):
 def txt2(t):
     from .plans.flows import ordered_claims
 
-    return ordered_claims(t.benchmark.select(F.col("item_id").alias("id"), "text"), t.documents.select(F.col("doc_id").alias("page_num"), "text"))
+    found = ordered_claims(t.benchmark.select(F.col("item_id").alias("id"), "text"), t.documents.select(F.col("doc_id").alias("page_num"), "text"))
+    return found.withColumn("places", F.array_join(F.transform("places", lambda x: x.cast("string")), ","))
 
 
 @query("txt5_align_pages")
@@ -657,6 +601,4 @@ def reg3(t):
     return O.removed_pages(a, 40, 30)
 
 
-@query("reg4_reg5_parking", """select l_orderkey, l_linenumber, round_even(l_linenumber * 11 / 6.0, 0)::int as page, greatest(4.0, least(l_quantity * 12.0, 496.0)) as x from lineitem""")
-def reg5(t):
-    return t.lineitem.select("l_orderkey", "l_linenumber", F.bround(F.col("l_linenumber") * 11 / 6.0, 0).cast("int").alias("page"), F.greatest(F.lit(4.0), F.least(F.col("l_quantity") * 12.0, F.lit(496.0))).alias("x"))
+from . import layout_queries  # noqa: E402, F401  registers its own
