@@ -19,7 +19,7 @@ from .kernels import BYTE_POWERS, U64, byte_sums, ragged, range_hashes, word_edg
 #: White space that the pre-tokenizers know beyond ASCII.
 _WIDE_SPACE = re.compile("[\\x85\\xa0\\u1680\\u2000-\\u200a\\u2028\\u2029\\u202f\\u205f\\u3000]")
 #: Most chunks in a worker's memo; what comes later is encoded for its batch only. A chunk takes about 40 bytes.
-MEMO = 1 << 19
+MEMO = 1 << 20
 
 
 class _Memo:
@@ -76,10 +76,12 @@ class Encoder:
         if self.tokenizer.get_vocab_size() > 1 << 16:
             raise ValueError("ids of over 16 bits are not supported")
         self.memo = _Memo()
-        if self.byte_level:
-            (self.line_feed,) = self._encode(["\n"])[0]
+        # what is put behind each of many chunks in one text: a token of its own that no other characters give
+        self.mark = "\n" if self.byte_level else " \x01 "
+        alone = self._encode([self.mark, f"a{self.mark}b{self.mark}"])
+        self.mark_id = alone[0][0] if len(alone[0]) == 1 and alone[1] == [*self._encode(["a"])[0], *alone[0], *self._encode(["b"])[0], *alone[0]] else None
 
-    def _encode(self, texts: list[str], part: int = 1 << 14) -> list[list[int]]:
+    def _encode(self, texts: list[str], part: int = 1 << 16) -> list[list[int]]:
         """Ids of each text, so many characters at a time: an encoding holds some hundred bytes for each id until it is dropped."""
         out, lo, size = [], 0, 0
         for hi, t in enumerate(texts, 1):
@@ -139,21 +141,21 @@ class Encoder:
         return self._insert(ids, bounds, odd) if odd else (ids, bounds)
 
     def _encode_chunks(self, raw: bytes, starts: list[int], ends: list[int]) -> list[list[int]]:
-        """Byte-level chunks are encoded many to a call, a line feed after each: a line feed between words is a token of its own."""
+        """Ids of each chunk. Chunks that don't end in white space and don't hold the mark are encoded many to a text, a mark behind each."""
         texts = [raw[a:b].decode() for a, b in zip(starts, ends, strict=True)]
-        if not self.byte_level:
+        if self.mark_id is None:
             return self._encode(texts)
         out: list[list[int]] = [[]] * len(texts)
         single, many = [], []
         for i, t in enumerate(texts):
-            (many if t[-1] not in "\x09\x0a\x0b\x0c\x0d " else single).append(i)
+            (many if t[-1] not in "\x09\x0a\x0b\x0c\x0d " and "\x01" not in t else single).append(i)
         for i, ids in zip(single, self._encode([texts[i] for i in single]), strict=True):
             out[i] = ids
         parts = [many[k : k + 256] for k in range(0, len(many), 256)]
-        for part, ids in zip(parts, self._encode(["\n".join([texts[i] for i in part]) + "\n" for part in parts]), strict=True):
+        for part, ids in zip(parts, self._encode([self.mark.join([texts[i] for i in part]) + self.mark for part in parts]), strict=True):
             at = 0
             for i in part:
-                to = ids.index(self.line_feed, at)
+                to = ids.index(self.mark_id, at)
                 out[i] = ids[at:to]
                 at = to + 1
         return out
