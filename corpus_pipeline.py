@@ -1,8 +1,11 @@
 """A cleaning pipeline over `documents`: language ID, near-dedup, benchmark decontamination, PII surrogates, packing.
 
 Each stage is (name, function of (spark, docs, sf_dir)); its rows are written as Parquet and read again as the next one's docs. All
-but the last return the columns of documents. No stage can be written in SQL on whole tables (the first is a learned model),
-so ORACLE_SQL is None and tests compare with brute force."""
+but the last return the columns of documents. run() deletes a stage's rows once the next one's are written. No stage can be written in SQL on
+whole tables (the first is a learned model), so ORACLE_SQL is None and tests compare with brute force.
+
+Odd rows: null and wordless texts go in the first stage; rows that share a doc_id are judged together by the stages that drop documents, and
+stay or go together (equal rows too: they are one document, repeated); rows without doc_id are kept by these; packing takes each row."""
 
 from __future__ import annotations
 
@@ -51,10 +54,19 @@ STAGES = [
 ORACLE_SQL = None
 
 
+def _delete(spark: SparkSession, path: str) -> None:
+    where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
+
+
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs, root = table(spark, sf_dir, "documents"), f"{checkpoint_dir(spark)}/pipeline-{uuid.uuid4().hex}"
+    last = None
     for k, (name, stage) in enumerate(STAGES):
         path = f"{root}/{k}-{name}"
         stage(spark, docs, sf_dir).write.parquet(path)
         docs = spark.read.parquet(path)
+        if last:
+            _delete(spark, last)
+        last = path
     return docs
