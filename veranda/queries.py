@@ -575,7 +575,7 @@ def ras7(t):
     return a.join(b, F.col("a.vec_id") == F.col("b.j")).select("a.vec_id", F.round((dot("a.e", "b.e") / F.sqrt(dot("a.e", "a.e") * dot("b.e", "b.e")) + 1) / 2, 5).alias("ncc"))
 
 
-@query("ras1_ras3_ras8_ras15_rasters")
+@query("ras1_ras3_ras8_rasters")
 def ras(t):
     from .plans.flows import raster_report
 
