@@ -92,12 +92,6 @@ def test_long_rasters():
     s = K.match_template(a, a[600:612, 8:40])
     assert s.shape == (689, 33) and K.best_and_second(s, 4)[2:] == (600, 8)
     assert np.allclose(s, K.match_template(a, a[600:612, 8:40], 10**6))
-    for rows in (1, 2, 30, 700):
-        x, y = g.integers(0, 9, (rows, 8)), g.integers(0, 9, (rows + 3, 8))
-        k, m, n = max(1, int(rows / 3)), x.mean(1), y.mean(1)
-        votes = sorted(j - i for i in (*range(rows - k, rows), *range(k)) if abs(n[j := int(np.argmin(np.abs(n - m[i])))] - m[i]) < 8)
-        want = votes[len(votes) // 2] if votes else 0
-        assert K.vertical_shift(x, y) == (want if abs(want) >= 3 else 0)
 
 
 def test_raster_report_reads_whole_texts(spark):

@@ -601,4 +601,4 @@ def reg3(t):
     return O.removed_pages(a, 40, 30)
 
 
-from . import layout_queries  # noqa: E402, F401  registers its own
+from . import layout_queries, page_queries  # noqa: E402, F401  register their own
