@@ -237,6 +237,40 @@ def test_wrapped_lines(spark):
     assert all(wide(a.text + " " + b.text.split()[0]) > 60 for a, b in zip(rows, rows[1:]))
 
 
+def test_sidebar(spark):
+    g = random.Random(11)
+    text = lambda n: " ".join("".join(g.choice("abcdeilmw") for _ in range(g.randrange(1, 9))) for _ in range(n))
+    notes = [(1, 3, 1, 300.0, text(9), None), (1, 1, 2, 290.0, text(40), ""), (1, 2, 3, 295.0, "not this", "<b>" + text(12) + "</b> <sup>2</sup>"), (1, 4, 4, 10.0, None, None)]
+    notes += [(2, i, i, 100.0, text(60), None) for i in range(20)]
+    df = spark.createDataFrame(notes, "page_num long, index long, number long, y double, text string, rich string")
+    sizes = spark.createDataFrame([(1, 600.0, 800.0), (2, 1800.0, 900.0)], "page_num long, width double, height double")
+    got = {(r.page_num, r["index"]): r for r in T.sidebar(df, sizes).collect()}
+    of = lambda face: {c: w / 1000 for w, cs in face.items() for c in cs}
+    for page, scale, wide, tall in ((1, 1.0, 600, 800), (2, 2.0, 1800, 900)):
+        mine = sorted((n for n in notes if n[0] == page), key=lambda n: n[2])
+        room = (200 - (10 + 22 + 6) - 10) * scale
+        size = 8 * scale
+        while True:
+            heights = []
+            for n in mine:
+                words = [sum(of(T.BOLD if "b" in f.split(",") else T.PLAIN)[c] * (0.66 if "sup" in f else 1) for r, f in w for c in r) for w in (_plain_runs(n[5]) if n[5] else [[(w, "")] for w in (n[4] or "").split()])]
+                lines, at = 0, None
+                for w in words:
+                    if at is None or at + (w + 0.278) * size > room + 1e-9:
+                        lines, at = lines + 1, w * size
+                    else:
+                        at += (w + 0.278) * size
+                assert size != got[page, n[1]].size or lines == got[page, n[1]].n_lines
+                heights.append(max(22 * scale, lines * size * 1.3))
+            if 36 * scale + sum(h + 8 * scale for h in heights) <= tall - 10 * scale or size <= 3:
+                break
+            size *= 0.9
+        assert all(np.isclose(got[page, n[1]].size, size) and np.isclose(got[page, n[1]].height, h) and got[page, n[1]].x == wide + 38 * scale for n, h in zip(mine, heights))
+        ys = [got[page, n[1]].y for n in mine]
+        assert all(b - a >= h + 8 * scale - 1e-6 for a, b, h in zip(ys, ys[1:], heights)) and ys[0] >= 36 * scale - 1e-6
+    assert got[1, 3].size == 8.0 and got[2, 0].size < 3.1 and got[1, 4].n_lines == 0
+
+
 @pytest.mark.parametrize("hinted", [False, True])
 def test_locate_claims_equals_a_plain_version(spark, hinted):
     g = random.Random(6)

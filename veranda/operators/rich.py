@@ -1,4 +1,4 @@
-"""Rich text (tags b, u, sup and sub) as runs of words, and lines of a width by the metrics of the two faces of the notes."""
+"""Rich text (tags b, u, sup and sub) as runs of words, lines of a width by the metrics of the two faces of the notes, and the sidebar of notes beside a page."""
 
 from __future__ import annotations
 
@@ -8,7 +8,9 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, IntegerType
 
+from ..functions import geometry as G
 from ..functions import strings as S
+from . import kernels as K
 
 TOKEN = r"</?(?:b|u|sup|sub)>|[^<]+|<"
 PARTS = r"[ \t\n\x0B\f\r]+|[^ \t\n\x0B\f\r]+"
@@ -26,6 +28,9 @@ BOLD = {
     667: "EPSVXY", 722: "&ABCDHKNRU", 778: "GOQw", 833: "M", 889: "%m", 944: "W", 975: "@",
 }
 SMALL = 0.66
+PLAIN_SPACE = next(w for w, cs in PLAIN.items() if " " in cs) / 1000
+#: Fixed values of a sidebar, in points at scale 1: its padding, header, space between notes and after a number's dot, leading, and type sizes to start with and to go down to.
+PAD, HEADER, GAP, DOT_GAP, LEADING, START, SHRINK, LEAST = 10.0, 26.0, 8.0, 6.0, 1.3, 8.0, 0.9, 3.0
 
 
 def runs(texts: DataFrame, keys: list[str], rich: str) -> DataFrame:
@@ -83,14 +88,50 @@ def wrap(texts: DataFrame, keys: list[str], text: str, size: float, most: float)
     return each.groupBy(*keys, F.col("x.ns").alias("line")).agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("pos", "x.ws"))), lambda v: v["ws"]), " ").alias("text"))
 
 
-PLAIN_SPACE = next(w for w, cs in PLAIN.items() if " " in cs) / 1000
+def sized_runs(texts: DataFrame, keys: list[str], rich: str) -> DataFrame:
+    """runs() with their widths at type size 1."""
+    has = lambda f: F.array_contains(F.split("flags", ","), f)
+    return runs(texts, keys, rich).withColumn("width", width(F.col("text"), has("b")) * F.when(has("sup") | has("sub"), SMALL).otherwise(1.0))
+
+
+def word_widths(each: DataFrame, keys: list[str]) -> DataFrame:
+    """(keys, ws): the widths of the words of runs, in order."""
+    words = each.groupBy(*keys, "word").agg(F.sum("width").alias("w"))
+    return words.groupBy(*keys).agg(F.transform(F.sort_array(F.collect_list(F.struct("word", "w"))), lambda x: x["w"]).alias("ws"))
 
 
 def wrap_rich(texts: DataFrame, keys: list[str], rich: str, size: float, most: float) -> DataFrame:
     """(keys, line, word, run, text, flags, width): a rich text's runs with the line of each word and each run's width; raised and lowered runs are smaller."""
-    has = lambda f: F.array_contains(F.split("flags", ","), f)
-    each = runs(texts, keys, rich).withColumn("width", width(F.col("text"), has("b")) * F.when(has("sup") | has("sub"), size * SMALL).otherwise(size))
-    words = each.groupBy(*keys, "word").agg(F.sum("width").alias("w"))
-    arrays = words.groupBy(*keys).agg(F.transform(F.sort_array(F.collect_list(F.struct("word", "w"))), lambda x: x["w"]).alias("ws"))
+    each = sized_runs(texts, keys, rich).withColumn("width", F.col("width") * size)
+    arrays = word_widths(each, keys)
     lines = arrays.select(*keys, F.posexplode(line_numbers("ws", PLAIN_SPACE * size, most)).alias("word", "line"))
     return each.join(lines, [*keys, "word"]).select(*keys, "line", "word", "run", "text", "flags", "width")
+
+
+def sidebar(notes: DataFrame, sizes: DataFrame) -> DataFrame:
+    """(page_num, index, size, x, y, height, n_lines): the notes (page_num, index, number, y, text, rich) beside pages(page_num, width, height), by number, near the height y of what
+    they are about. All notes of a page have the largest size, from START down, at which they fit; the rich text counts where there is one."""
+    keys = ["page_num", "index"]
+    noted = notes.where("coalesce(rich, '') <> ''")
+    styled = word_widths(sized_runs(noted, keys, "rich"), keys).withColumnRenamed("ws", "__rich")
+    plain = F.transform(S.split_words("text"), lambda w: width(w))
+    rows = notes.join(styled, keys, "left").withColumn("ws", F.when(F.coalesce("rich", F.lit("")) == "", plain).otherwise(F.coalesce("__rich", F.array().cast("array<double>"))))
+    rows = rows.select(*keys, "number", F.col("y").alias("about"), "ws").join(sizes.select("page_num", "width", "height"), "page_num")
+
+    def run(g: pd.DataFrame) -> pd.DataFrame:
+        g = g.sort_values(["number", "index"])
+        page, tall = g["width"].iloc[0], g["height"].iloc[0]
+        scale = max(1.0, page / 900)
+        dot, top, pad = G.DOT_RADIUS * scale, (HEADER + PAD) * scale, PAD * scale
+        left = pad + 2 * dot + DOT_GAP * scale
+        words, size = [np.asarray(w, float) for w in g["ws"]], START * scale
+        while True:
+            n = [int(lines_of(w * size, PLAIN_SPACE * size, G.SIDEBAR * scale - left - pad)[-1]) + 1 if len(w) else 0 for w in words]
+            heights = [max(2 * dot, k * size * LEADING) for k in n]
+            if size <= LEAST or top + sum(heights) + len(n) * GAP * scale <= tall - pad:
+                break
+            size *= SHRINK
+        ys = K.spread((g["about"] - dot).tolist(), heights, GAP * scale, top, tall - pad)
+        return pd.DataFrame({"page_num": g["page_num"], "index": g["index"], "size": size, "x": page + left, "y": ys, "height": heights, "n_lines": n})
+
+    return rows.groupBy("page_num").applyInPandas(run, "page_num long, index long, size double, x double, y double, height double, n_lines int")
