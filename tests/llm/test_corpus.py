@@ -193,11 +193,11 @@ def whole_documents(pieces):
 def test_equal_keys_do_not_hang():
     ids, none = np.array([0, 0, -(1 << 63) + 1, 5]), np.array([True, False, False, False])
     keys, salt = token_files.different_keys(ids, np.zeros(4, np.int64), none)
-    shard = token_files.Shard(np.arange(8, dtype="<u2").tobytes(), token_files.build_index(keys, np.array([0, 2, 4, 6]), salt), 2)
+    shard = token_files.Shard(np.arange(8, dtype="<u2").tobytes(), token_files.build_index(keys, np.array([0, 2, 4, 6]), np.array([2, 2, 2, 2]), salt), 2)
     assert [shard.get(i).tolist() for i in (0, -(1 << 63) + 1, 5)] == [[2, 3], [4, 5], [6, 7]] and shard.get(77) is None
     assert [x.tolist() for x in shard.find(np.array([0]), null=np.array([True]))] == [[0], [2]]
     with pytest.raises(ValueError):
-        token_files.build_index(np.zeros(2, np.uint64), np.zeros(2, np.int64))
+        token_files.build_index(np.zeros(2, np.uint64), np.zeros(2, np.int64), np.ones(2, np.int64))
     with pytest.raises(ValueError):
         token_files.different_keys(np.zeros(2, np.int64), np.zeros(2, np.int64), np.zeros(2, bool))
 

@@ -6,11 +6,11 @@ store will do and a lost executor's task is simply run again):
     part, shard   the partition and the shard's number in it; ascending in both is ascending in doc_id
     before, n_ids ids of the partition before the shard, ids in it
     payload       the ids one after another, raw little-endian unsigned 16-bit or 32-bit integers (width)
-    index         magic, number of keys and of buckets, salt, then uint32 seeds by bucket, uint64 fingerprints and uint64 offsets by slot
+    index         magic, number of keys and of buckets, salt, then uint32 seeds by bucket, uint64 fingerprints, uint64 offsets and uint32 lengths by slot
 
 A document is found in constant time: its key's hash picks a bucket, the bucket's seed and the hash pick the slot, the slot's
-fingerprint tells whether the key is there at all (a stranger passes with probability 2**-64), and the slot's offset and the next in payload
-order bound its ids. The hash is minimal: n keys take n slots. It is built bucket by bucket, largest first, trying seeds until
+fingerprint tells whether the key is there at all (a stranger passes with probability 2**-64), and the slot's offset and length
+bound its ids; nothing is searched or sorted. The hash is minimal: n keys take n slots. It is built bucket by bucket, largest first, trying seeds until
 the bucket's keys fall into free slots. Should two keys of a shard be equal, it takes another salt.
 
 Odd rows: a null or empty text is its end id alone; rows that share a doc_id, or have none, are numbered in a shard by a hash of their text and
@@ -32,7 +32,7 @@ from .common import as_bytes, map_arrow
 from .kernels import U64, batches, mix
 from .tokens import encoder
 
-MAGIC, HEADER = b"VTO2", struct.Struct("<4sIIQ")
+MAGIC, HEADER = b"VTO3", struct.Struct("<4sIIQ")
 
 
 def keys_of(ids: np.ndarray, copies: np.ndarray, null: np.ndarray, salt: int) -> np.ndarray:
@@ -56,8 +56,8 @@ def _slot(keys: np.ndarray, seeds: np.ndarray, n: int) -> np.ndarray:
         return (mix(keys ^ mix(seeds.astype(U64) + U64(0x632BE59BD9B4E019))) % U64(n)).astype(np.int64)
 
 
-def build_index(keys: np.ndarray, offsets: np.ndarray, salt: int = 0) -> bytes:
-    """keys: different 64-bit keys; offsets: where each one's ids begin."""
+def build_index(keys: np.ndarray, offsets: np.ndarray, lengths: np.ndarray, salt: int = 0) -> bytes:
+    """keys: different 64-bit keys; offsets, lengths: where each one's ids begin, and their number."""
     n = len(keys)
     if len(np.unique(keys)) < n:
         raise ValueError("equal keys have no perfect hash")
@@ -86,9 +86,9 @@ def build_index(keys: np.ndarray, offsets: np.ndarray, salt: int = 0) -> bytes:
                 slots[own] = place[t]
                 break
             base += len(tries)
-    prints, where = np.zeros(n, "<u8"), np.zeros(n, "<u8")
-    prints[slots], where[slots] = mix(keys + U64(1)), offsets
-    return HEADER.pack(MAGIC, n, m, salt) + seeds.astype("<u4").tobytes() + prints.tobytes() + where.tobytes()
+    prints, where, long = np.zeros(n, "<u8"), np.zeros(n, "<u8"), np.zeros(n, "<u4")
+    prints[slots], where[slots], long[slots] = mix(keys + U64(1)), offsets, lengths
+    return HEADER.pack(MAGIC, n, m, salt) + seeds.astype("<u4").tobytes() + prints.tobytes() + where.tobytes() + long.tobytes()
 
 
 class Shard:
@@ -101,17 +101,17 @@ class Shard:
         self.ids = np.frombuffer(payload, f"<u{width}")
         self.seeds = np.frombuffer(index, "<u4", m, HEADER.size)
         self.prints = np.frombuffer(index, "<u8", self.n, HEADER.size + 4 * m)
-        self.offsets = np.frombuffer(index, "<u8", self.n, HEADER.size + 4 * m + 8 * self.n).astype(np.int64)
-        self.ends = np.append(np.sort(self.offsets), len(self.ids))
+        self.offsets = np.frombuffer(index, "<u8", self.n, HEADER.size + 4 * m + 8 * self.n)
+        self.lengths = np.frombuffer(index, "<u4", self.n, HEADER.size + 4 * m + 16 * self.n)
 
     def find(self, doc_ids: np.ndarray, copies: np.ndarray | None = None, null: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
         """(from, to) of each document's ids in the shard; -1, -1 if it isn't there."""
         zeros = np.zeros(len(doc_ids), np.int64)
         keys = keys_of(doc_ids, zeros if copies is None else copies, zeros.astype(bool) if null is None else null, self.salt)
         slot = _slot(keys, self.seeds[(mix(keys) % U64(len(self.seeds))).astype(np.int64)], self.n)
-        start = self.offsets[slot]
+        start = self.offsets[slot].astype(np.int64)
         there = self.prints[slot] == mix(keys + U64(1))
-        return np.where(there, start, -1), np.where(there, self.ends[np.searchsorted(self.ends, start, "right")], -1)
+        return np.where(there, start, -1), np.where(there, start + self.lengths[slot], -1)
 
     def get(self, doc_id: int) -> np.ndarray | None:
         lo, hi = self.find(np.array([doc_id]))
@@ -145,7 +145,7 @@ def write(docs: DataFrame, path: str, tokenizer: str, end_id: int) -> None:
                     copies[i], last = copy, x
                 keys, salt = different_keys(own, copies, null)
                 known = own[~null]
-                row = (part, shard, before, len(out), 2, int(known[0]) if len(known) else None, int(known[-1]) if len(known) else None, np.stack((own, copies, null), 1).astype("<i8").tobytes(), out.astype("<u2").tobytes(), build_index(keys, begin, salt))
+                row = (part, shard, before, len(out), 2, int(known[0]) if len(known) else None, int(known[-1]) if len(known) else None, np.stack((own, copies, null), 1).astype("<i8").tobytes(), out.astype("<u2").tobytes(), build_index(keys, begin, np.diff(begin, append=len(out)), salt))
                 yield pa.RecordBatch.from_arrays([pa.array([x], k) for x, k in zip(row, kinds, strict=True)], names)
                 before += len(out)
                 shard += 1
