@@ -550,22 +550,22 @@ def txt5(t):
 
 
 @query("txt6_spread", """
-with r as (select l_suppkey as page, l_orderkey * 10 + l_linenumber as id, l_quantity * 160 as want, l_linenumber + 4.0::double as height from lineitem),
+with r as (select l_suppkey as page, l_orderkey * 10 + l_linenumber as id, l_quantity * 120 as want, l_linenumber + 4.0::double as height from lineitem),
 o as (select *, row_number() over w as i, coalesce(sum(height + 2) over (w rows between unbounded preceding and 1 preceding), 0) as before from r window w as (partition by page order by want, id)),
-fit as (select page, max_by(before + height, i) < 9000 as fits, max(i) as n from o group by page),
+fit as (select page, max_by(before + height, i) < 6000 as fits, max(i) as n from o group by page),
 z as (select o.page, i, sum(want - before) over (partition by o.page order by i) as c from o join fit using (page) where fits),
 m as (select a.page, a.i as j, b.i as k, min((b.c - coalesce(p.c, 0)) / (b.i - a.i + 1)) over (partition by a.page, a.i order by b.i desc) as low from z a join z b on a.page = b.page and b.i >= a.i left join z p on p.page = a.page and p.i = a.i - 1),
 iso as (select page, k as i, max(low) as v from m group by all),
 y0 as (select o.*, v + before as y from o join iso using (page, i)),
 y1 as (select *, y + greatest(0.0, -(first_value(y) over w)) as y1 from y0 window w as (partition by page order by i rows between unbounded preceding and unbounded following)),
-y2 as (select *, y1 - greatest(0.0, last_value(y1) over w + last_value(height) over w - 9000) as y2 from y1 window w as (partition by page order by i rows between unbounded preceding and unbounded following)),
+y2 as (select *, y1 - greatest(0.0, last_value(y1) over w + last_value(height) over w - 6000) as y2 from y1 window w as (partition by page order by i rows between unbounded preceding and unbounded following)),
 y3 as (select *, max(greatest(y2, 0) - before) over (partition by page order by i) + before as y3 from y2),
-y4 as (select *, min(least(y3, 9000 - height) - before) over (partition by page order by i desc) + before as y4 from y3)
+y4 as (select *, min(least(y3, 6000 - height) - before) over (partition by page order by i desc) + before as y4 from y3)
 select o.page, o.id, round(case when fits then y4 else o.before end, 6) as y from o join fit using (page) left join y4 on y4.page = o.page and y4.i = o.i""")
 def txt6(t):
     from .plans.flows import spread_entries
 
-    return spread_entries(t.lineitem.select(F.col("l_suppkey").alias("page"), (F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("id"), (F.col("l_quantity") * 160).alias("want"), (F.col("l_linenumber") + 4.0).alias("height")), 2.0, 0.0, 9000.0)
+    return spread_entries(t.lineitem.select(F.col("l_suppkey").alias("page"), (F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("id"), (F.col("l_quantity") * 120).alias("want"), (F.col("l_linenumber") + 4.0).alias("height")), 2.0, 0.0, 6000.0)
 
 
 _HASH = "h as (select vec_id, label, list_transform(embedding, lambda v: (v >= list_sort(embedding)[33])::int) as h from embeddings)"
