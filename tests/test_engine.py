@@ -247,3 +247,24 @@ def test_entry_imports():
     import __spark_entry__ as e
 
     assert set(engine.queries()) <= set(e.queries())
+
+
+def both(spark, name, path, **tables):
+    """The sorted rows of a query and of its SQL on tables (lists of rows and their DDL) written under path."""
+    con = duckdb.connect()
+    for table, (rows, ddl) in tables.items():
+        spark.createDataFrame(rows, ddl).write.parquet(f"{path}/{table}.parquet")
+        con.execute(f"create view {table} as select * from '{path}/{table}.parquet/*.parquet'")
+    df = engine.queries()[name](spark, str(path))
+    r = con.execute(engine.oracle_sql()[name])
+    names = [d[0] for d in r.description]
+    return (sorted("|".join(norm(x[c]) for c in sorted(names)) for x in rows) for rows in (df.collect(), [dict(zip(names, x, strict=True)) for x in r.fetchall()]))
+
+
+PART = "p_partkey long, p_name string, p_brand string, p_type string, p_size int, p_retailprice double"
+
+
+def test_fitting_size_of_texts_that_fit_just_so(spark, tmp_path):
+    pairs = [(s, s * 10 * 8 * 0.9**k) for s in range(1, 51) for k in range(10)] + [(13, 936.0), (15, 972.0), (None, 9.0), (3, None)]
+    got, want = both(spark, "geo12_fitting_size", tmp_path, part=([(i, "a", "b", "c", s, p) for i, (s, p) in enumerate(pairs)], PART))
+    assert got == want

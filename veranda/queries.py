@@ -284,7 +284,7 @@ def geo11(t):
 
 @query("geo12_fitting_size", """select p_partkey, round(list_filter(list_transform(range(11), lambda k: 8 * pow(0.9, k)), lambda v: v * p_size * 10 <= p_retailprice or v <= 3)[1], 9) as size from part""")
 def geo12(t):
-    return t.part.select("p_partkey", F.round(G.fitting_size(F.col("p_size") * 10.0, F.col("p_retailprice")), 9).alias("size"))
+    return t.part.select("p_partkey", F.round(G.fitting_size(lambda v: v * F.col("p_size") * 10, F.col("p_retailprice")), 9).alias("size"))
 
 
 # ---------------------------------------------------------------- rules
